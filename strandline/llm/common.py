@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -71,3 +72,42 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[
 def texts_of(batch: pa.RecordBatch, text: str) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in `by`, from sorted batches; a run may span batches."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
+        edges = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), batch.num_rows]
+        if rest and any(rest[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in by):
+            yield pa.Table.from_batches(rest)
+            rest = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            rest.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(rest)
+                rest = []
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def meet(left: DataFrame, right: DataFrame, key: list[str], limit: int) -> tuple[DataFrame, list[str]]:
+    """Rows of both sides (same columns) dealt so that every left row meets every right row of its key in one group.
+
+    Each side of a key is cut into slices of about `limit` rows by a hash of its row, and each pair of slices is a
+    group: no task holds a whole hot key. Adds side (0 left, 1 right) and returns the columns that name a group, by
+    which the rows are partitioned and sorted.
+    """
+    n = left.groupBy(*key).agg(F.ceil(F.count("*") / limit).cast("int").alias("nl"))
+    m = right.groupBy(*key).agg(F.ceil(F.count("*") / limit).cast("int").alias("nr"))
+    sizes = materialize(n.join(m, key), "sizes")
+    columns = left.columns
+    own = F.xxhash64(*[c for c in columns if c not in key])
+    ls = left.join(sizes, key).withColumn("i", F.pmod(own, "nl").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)))
+    rs = right.join(sizes, key).withColumn("j", F.pmod(own, "nr").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)))
+    both = ls.select(*columns, "i", "j", F.lit(0).alias("side")).unionByName(rs.select(*columns, "i", "j", F.lit(1).alias("side")))
+    by = [*key, "i", "j"]
+    return both.repartition(*by).sortWithinPartitions(*by), by
