@@ -56,7 +56,7 @@ def discard(df: DataFrame) -> None:
 
 def input_mb(df: DataFrame) -> float:
     """Catalyst's size estimate of a plan, in MB; it scales the number of blocks with the data."""
-    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) / 1e6
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) / 1e6
 
 
 def crc_fold(id_col: str, folds: int):
