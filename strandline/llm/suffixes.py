@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandline.llm import bytesums
 from strandline.llm.common import chunks, materialize, table, texts_of
 
-DIGIT = 32
+DIGIT = 48
 PIECE = 1 << 20
 CANDIDATE, REMOVED, OPEN, SHARED = 0, 1, 2, 3
 LAST = np.iinfo(np.int64).max
