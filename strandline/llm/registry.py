@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from strandline.llm.lines import op2_line_dedup
+from strandline.llm.lmscore import op1_lm_scores
 from strandline.llm.packing import op9_packing
 from strandline.llm.quality import op4_quality
+from strandline.llm.secrets import op5_secrets
 from strandline.llm.sentencepieces import op10_sentencepiece
 from strandline.llm.simhash import op8_simhash
 from strandline.llm.suffixes import op3_suffix_dedup
@@ -11,7 +14,7 @@ from strandline.llm.vectors import op6_top_k, op7_embedding_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_suffix_dedup, op4_quality, op6_top_k, op7_embedding_dedup, op8_simhash, op9_packing, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_lm_scores, op2_line_dedup, op3_suffix_dedup, op4_quality, op5_secrets, op6_top_k, op7_embedding_dedup, op8_simhash, op9_packing, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import chunks, materialize, table, texts_of
@@ -171,6 +171,14 @@ def near_links(fps: DataFrame, radius: int = 4, blocks: int = 6, limit: int = 20
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long")
 
 
+def labelled(fps: DataFrame, first: Column, radius: int) -> DataFrame:
+    """fp, first, component of each distinct fingerprint: the smallest `first` of its rows, and its connected part."""
+    nodes = materialize(fps.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    parts = materialize(components(near_links(nodes.select("fp"), radius)), "parts")
+    found = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
+    return materialize(found.select("fp", "first", F.coalesce("component", "fp").alias("component")), "labelled")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of each row.
 
@@ -182,14 +190,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows are each returned. Empty table: no rows. Other columns are not read.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    parts = materialize(components(near_links(nodes.select("fp"), radius)), "parts")
-    labelled = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    labelled = materialize(labelled, "labelled")
-    lowest = materialize(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "lowest")
-    found = materialize(labelled.join(lowest, "component").select("fp", "component_id"), "classes")
+    nodes = labelled(fps, F.col("doc_id"), radius)
+    lowest = materialize(nodes.groupBy("component").agg(F.min("first").alias("component_id")), "lowest")
+    found = materialize(nodes.join(lowest, "component").select("fp", "component_id"), "classes")
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each group of near-duplicates, all columns as they are: that of the smallest id (null ids come last).
+
+    Of rows of the same id the one of the smallest text hash stays, of rows that repeat id and text any one.
+    """
+    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    slim = docs.select(F.struct(order.alias("order"), key.alias("key")).alias("row"), F.col(text_col).alias("text"))
+    fps = materialize(fingerprints(slim, "row", "text", width).select("fp", F.col("doc_id").alias("row")), "fingerprints")
+    nodes = labelled(fps, F.col("row"), radius)
+    stays = materialize(nodes.groupBy("component").agg(F.min("first").alias("row")).select(F.col("row.key").alias("_key")).distinct(), "stays")
+    kept = docs.withColumn("_key", key).join(stays, "_key", "left_semi")
+    twice = fps.groupBy("row").count().where("count > 1").select(F.col("row.key").alias("_key")).join(stays, "_key", "left_semi")
+    twice = materialize(twice, "twice")
+    if twice.isEmpty():
+        return kept.drop("_key")
+    single = kept.join(twice, "_key", "left_anti")
+    return single.unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"])).drop("_key")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
