@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import bytesums
-from strandline.llm.common import chunks, materialize, table, texts_of
+from strandline.llm.common import chunks, input_mb, materialize, table, texts_of
 
 LAST = np.iinfo(np.int64).max
 FREQUENT = 16_384
 HOT = 20_000
 SLAB = 1 << 20
-POSTINGS = "key long, gone boolean, n int, pos int, sketch long, same long, doc long, dk long, line int"
+#: Postings of a chunk of texts, for one range of keys: arrays of the posted words, of their lines and of the texts.
+POSTINGS = "bucket int, key binary, pos binary, at binary, n binary, line binary, text binary, sketch binary, sketch2 binary, same binary, doc binary, dk binary"
+POSTED, OF_LINE, OF_TEXT = {"key": "<u8", "pos": "<u4", "at": "<u4"}, {"n": "<u4", "line": "<u4", "text": "<u4", "sketch": "<u8", "sketch2": "<u8", "same": "<u8"}, {"doc": "<i8", "dk": "<i8"}
 PAIRS = "dk long, line int, other_dk long, other_line int, distance int, equal boolean, more boolean"
 
 
@@ -57,16 +59,17 @@ class Lines:
         self.number = own - np.searchsorted(ends, starts[self.text])
         self.size = np.diff(self.start)
 
-    def folded(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each set: the parity of its words on 64 bits, and a hash of the set.
+    def folded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each set: the parity of its words on 128 bits, and a hash of the set.
 
         Two sketches differ in as many bits as the sets differ in words, at most.
         """
         if not len(self.size):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return (np.zeros(0, np.uint64),) * 3
         mixed = bytesums.mix(self.token ^ np.uint64(0x5851F42D4C957F2D))
-        sketch = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), self.start[:-1])
-        return sketch, bytesums.mix(np.add.reduceat(mixed, self.start[:-1]) + self.size.astype(np.uint64))
+        bit, upper = np.uint64(1) << (mixed >> np.uint64(58)), (mixed >> np.uint64(57) & np.uint64(1)).astype(bool)
+        low, high = (np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), self.start[:-1]) for half in (~upper, upper))
+        return low, high, bytesums.mix(np.add.reduceat(mixed, self.start[:-1]) + self.size.astype(np.uint64))
 
 
 def overlap(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
@@ -78,42 +81,53 @@ def _later(doc: np.ndarray, line: np.ndarray, i: np.ndarray, j: np.ndarray) -> n
     return (doc[j] > doc[i]) | ((doc[j] == doc[i]) & (line[j] > line[i]))
 
 
-def candidates(x: dict[str, np.ndarray], threshold: float, every: bool) -> Iterator[pa.RecordBatch]:
-    """For rows sorted by (key, doc, line): lines and an earlier line of their key that passes all filters.
+def candidates(x: dict[str, np.ndarray], threshold: float, every: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places (later line, earlier line), distance, equal, more: pairs of postings of one key that pass all filters.
 
-    The nearest by sketch, or every one.
+    Length filter: postings sorted by (key, size) make the partners of a posting a range. Positional filter: the shorter
+    set's word stands within its shorter prefix, and what is left behind both words can still give the overlap. Sketch
+    filter: sets at the threshold differ in few words. Of the candidates of a later line in a slab, the nearest by
+    sketch (an equal set before all), or every one.
     """
-    key = x["key"]
+    order = np.lexsort((x["n"], x["key"]))
+    key, n, pos = x["key"][order], x["n"][order].astype(np.int64), x["pos"][order].astype(np.int64)
+    # The shorter of a pair: only postings of its shorter prefix, in the same order.
+    short = np.flatnonzero(pos <= n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9))
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    group = np.repeat(begin, np.diff(np.append(begin, len(key))))
-    before = np.arange(len(key)) - group  # earlier rows of the same key
-    total = np.concatenate([[0], np.cumsum(before)])
+    rank = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
+    span = np.int64(1 << 32)
+    sizes = rank * span + n
+    low = np.searchsorted(sizes[short], rank * span + np.ceil(threshold * n - 1e-9).astype(np.int64))
+    high = np.searchsorted(sizes[short], sizes, side="right")
+    total = np.concatenate([[0], np.cumsum(high - low)])
     at = 0
     while at < len(key):
         to = max(at + 1, int(np.searchsorted(total, total[at] + SLAB, side="right")) - 1)
-        for low in range(0, max(1, int(before[at:to].max(initial=0))), SLAB):  # more than one step for a huge key only
-            span = np.clip(before[at:to] - low, 0, SLAB)
-            j = np.repeat(np.arange(at, to), span)
-            i = np.arange(len(j)) - np.repeat(np.cumsum(span) - span, span) + group[j] + low
-            n, m = x["n"][j].astype(np.int64), x["n"][i].astype(np.int64)
-            need = overlap(n, m, threshold)
-            ok = (need <= np.minimum(n, m)) & (np.minimum(n - x["pos"][j], m - x["pos"][i]) >= need)
-            i, j, n, m, need = i[ok], j[ok], n[ok], m[ok], need[ok]
-            distance = np.bitwise_count((x["sketch"][i] ^ x["sketch"][j]).view(np.uint64)).astype(np.int32)
-            equal = (n == m) & (x["same"][i] == x["same"][j])
-            ok = (distance <= n + m - 2 * need) & _later(x["doc"], x["line"], i, j)
-            i, j, distance, equal = i[ok], j[ok], distance[ok], equal[ok]
+        for skip in range(0, max(1, int((high - low)[at:to].max())), SLAB):  # more than one step for a huge key only
+            count = np.clip((high - low)[at:to] - skip, 0, SLAB)
+            j = np.repeat(np.arange(at, to), count)
+            i = short[np.arange(len(j)) - np.repeat(np.cumsum(count) - count, count) + low[j] + skip]
+            need = overlap(n[i], n[j], threshold)
+            ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+            i, j, need = i[ok], j[ok], need[ok]
+            most = n[i] + n[j] - 2 * need
+            i, j = order[i], order[j]
+            distance = sum(np.bitwise_count(x[c][i] ^ x[c][j]).astype(np.int32) for c in ("sketch", "sketch2"))
+            ok = (distance <= most) & (i != j)
+            i, j, distance = i[ok], j[ok], distance[ok]
             if not len(j):
                 continue
-            order = np.lexsort((i, distance, ~equal, j))
-            i, j, distance, equal = i[order], j[order], distance[order], equal[order]
-            first = np.concatenate([[True], j[1:] != j[:-1]])
-            more = np.append(~first[1:], False)
-            if not every:
-                i, j, distance, equal, more = (v[first] for v in (i, j, distance, equal, more))
-            columns = (x["dk"][j], x["line"][j], x["dk"][i], x["line"][i], distance, equal, more)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split(" ")[0] for c in PAIRS.split(", ")])
+            equal = (x["n"][i] == x["n"][j]) & (x["same"][i] == x["same"][j])
+            swap = _later(x["doc"], x["line"], j, i)
+            late, early = np.where(swap, i, j), np.where(swap, j, i)
+            ok = _later(x["doc"], x["line"], early, late)
+            late, early, distance, equal = late[ok], early[ok], distance[ok], equal[ok]
+            rank_of = np.lexsort((early, distance, ~equal, late))
+            late, early, distance, equal = (v[rank_of] for v in (late, early, distance, equal))
+            first = np.concatenate([[True], late[1:] != late[:-1]]) if len(late) else np.zeros(0, bool)
+            more = np.append(~first[1:], False) if len(late) else first
+            keep = np.ones(len(late), bool) if every else first
+            yield late[keep], early[keep], distance[keep], equal[keep], more[keep]
         at = to
 
 
@@ -153,65 +167,100 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     slices_of = {int(np.uint64(w & (2**64 - 1))): -(-n // HOT) for w, n in known if n > HOT}
     hot = np.array(sorted(slices_of), np.uint64)
     hot_slices = np.array([slices_of[int(w)] for w in hot], np.int64)
+    buckets = max(64, int(input_mb(docs) / 8) + 1)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 2 << 20):
-            lines = Lines(texts_of(batch, "text"), words)
-            doc, dk = (batch.column(c).to_numpy()[lines.text] for c in ("doc", "dk"))
-            sketch, same = lines.folded()
-            order = np.lexsort((lines.number, doc, same))
-            lead = np.concatenate([[True], same[order][1:] != same[order][:-1]]) if len(order) else np.zeros(0, bool)
-            head = np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))
-            repeat = np.zeros(len(order), bool)
-            repeat[order] = _later(doc, lines.number, order[head], order)
-            n = lines.size
-            prefix = np.where(repeat | (n < 4), 1, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)
-            row = np.repeat(np.arange(len(n)), prefix)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-            token = lines.token[lines.start[row] + pos]
-            key = np.where(repeat[row], bytesums.mix(dk[row].view(np.uint64) + lines.number[row].astype(np.uint64)), np.where(n[row] < 4, same[row], token))
-            # Postings of words known to be frequent are cut into slices, and each pair of slices is a key.
-            place = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
-            cut = np.where((len(hot) > 0) & ~repeat[row] & (n[row] >= 4), hot_slices[place] * (hot[place] == key), 0) if len(hot) else np.zeros(len(row), np.int64)
-            times = np.maximum(cut, 1)
-            again = np.repeat(np.arange(len(row)), times)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-            mine = (bytesums.mix(same[row]) % np.maximum(cut, 1).astype(np.uint64)).astype(np.int64)[again]
-            key = np.where(cut[again] > 1, bytesums.mix(key[again] + (np.minimum(mine, other) * 65_537 + np.maximum(mine, other) + 1).astype(np.uint64)), key[again])
-            row, pos = row[again], pos[again]
-            columns = (key.view(np.int64), repeat[row], n[row], np.where(n[row] < 4, 0, pos), sketch.view(np.int64)[row], same.view(np.int64)[row], doc[row], dk[row], lines.number[row])
-            kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], [c.split(" ")[0] for c in POSTINGS.split(", ")])
-
-    def join(every: bool):
+    def post(only: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rest: dict[str, np.ndarray] | None = None
-            for batch in _ended(batches):
-                if batch is not None:
-                    now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-                    if rest is not None:
-                        now = {c: np.concatenate([rest[c], v]) for c, v in now.items()}
-                    cut = int(np.searchsorted(now["key"], now["key"][-1], side="left"))
-                    rest = {c: v[cut:] for c, v in now.items()}
-                    now = {c: v[:cut] for c, v in now.items()}
-                else:
-                    now, rest = rest or {"key": np.zeros(0, np.int64)}, None
-                if not len(now["key"]):
-                    continue
-                gone = now["gone"]
-                if gone.any():
-                    none = np.zeros(int(gone.sum()), np.int32)
-                    columns = (now["dk"][gone], now["line"][gone], now["dk"][gone], now["line"][gone], none, none == 0, none != 0)
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split(" ")[0] for c in PAIRS.split(", ")])
-                    now = {c: v[~gone] for c, v in now.items()}
-                if len(now["key"]):
-                    yield from candidates(now, threshold, every)
+            for batch in chunks(batches, "text", 4 << 20):
+                yield from _posted(batch, only)
 
         return run
 
-    def pairs_of(postings: DataFrame, every: bool) -> DataFrame:
-        return postings.repartition("key").sortWithinPartitions("key", "doc", "line").mapInArrow(join(every), PAIRS)
+    def _posted(batch: pa.RecordBatch, only: bool) -> Iterator[pa.RecordBatch]:
+        """Postings of a chunk, and in bucket -1 the lines that repeat one of the chunk."""
+        lines = Lines(texts_of(batch, "text"), words)
+        doc, dk = (batch.column(c).to_numpy() for c in ("doc", "dk"))
+        sketch, sketch2, same = lines.folded()
+        order = np.lexsort((lines.number, doc[lines.text], same))
+        lead = np.concatenate([[True], same[order][1:] != same[order][:-1]]) if len(order) else np.zeros(0, bool)
+        head = np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))
+        repeat = np.zeros(len(order), bool)
+        repeat[order] = _later(doc[lines.text], lines.number, order[head], order)
+        n = lines.size
+        prefix = np.where(repeat, 0, np.where(n < 4, 1, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1))
+        row = np.repeat(np.arange(len(n)), prefix)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+        key = np.where(n[row] < 4, same[row], lines.token[lines.start[row] + pos])
+        pos = np.where(n[row] < 4, 0, pos)
+        if len(hot):
+            # Postings of words known to be frequent are cut into slices, and each pair of slices is a key.
+            place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+            cut = np.where((n[row] >= 4) & (hot[place] == key), hot_slices[place], 1)
+            again = np.repeat(np.arange(len(row)), cut)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(cut) - cut, cut)
+            mine = (bytesums.mix(same[row]) % cut.astype(np.uint64)).astype(np.int64)[again]
+            pair = (np.minimum(mine, other) * 65_537 + np.maximum(mine, other) + 1).astype(np.uint64)
+            key = np.where(cut[again] > 1, bytesums.mix(key[again] + pair), key[again])
+            row, pos = row[again], pos[again]
+        line_of = {"n": n, "line": lines.number, "text": lines.text, "sketch": sketch, "sketch2": sketch2, "same": same}
+        by = (bytesums.mix(key) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+        order = np.argsort(by, kind="stable")
+        edges = np.searchsorted(by[order], np.arange(buckets + 1))
+        parts = [(i, order[a:b]) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+        out: dict[str, list] = {c.split(" ")[0]: [] for c in POSTINGS.split(", ")}
+        if not only and repeat.any():
+            parts.append((-1, None))
+        for i, own in parts:
+            rows = np.flatnonzero(repeat) if own is None else row[own]
+            of_line, at = np.unique(rows, return_inverse=True)
+            of_text, text = np.unique(lines.text[of_line], return_inverse=True)
+            out["bucket"].append(i)
+            posted = {"key": np.zeros(len(rows)) if own is None else key[own], "pos": np.zeros(len(rows)) if own is None else pos[own], "at": at}
+            for c, kind in POSTED.items():
+                out[c].append(posted[c].astype(kind).tobytes())
+            for c, kind in OF_LINE.items():
+                out[c].append((text if c == "text" else line_of[c][of_line]).astype(kind).tobytes())
+            for c, v in (("doc", doc), ("dk", dk)):
+                out[c].append(v[of_text].astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c == "bucket" else pa.binary()) for c, v in out.items()], list(out))
+
+    def unpacked(table_: pa.Table) -> dict[str, np.ndarray]:
+        """Postings of some rows, each with its line's and its text's values."""
+        parts: dict[str, list[np.ndarray]] = {}
+        for row in table_.to_pylist():
+            posted = {c: np.frombuffer(row[c], k) for c, k in POSTED.items()}
+            line = {c: np.frombuffer(row[c], k) for c, k in OF_LINE.items()}
+            text = line.pop("text")
+            for c, k in OF_TEXT.items():
+                line[c] = np.frombuffer(row[c], k)[text]
+            at = posted.pop("at")
+            for c, v in posted.items():
+                parts.setdefault(c, []).append(v)
+            for c, v in line.items():
+                parts.setdefault(c, []).append(v[at])
+        return {c: np.concatenate(v) for c, v in parts.items()}
+
+    def pair_table(x: dict[str, np.ndarray], late: np.ndarray, early: np.ndarray, distance: np.ndarray, equal: np.ndarray, more: np.ndarray) -> pa.Table:
+        columns = (x["dk"][late], x["line"][late], x["dk"][early], x["line"][early], distance, equal, more)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+        return pa.table({c.split(" ")[0]: pa.array(v).cast(k) for c, v, k in zip(PAIRS.split(", "), columns, kinds, strict=True)})
+
+    def best(group: pa.Table) -> pa.Table:
+        """One candidate for each later line of a range of keys."""
+        x = unpacked(group)
+        found = [np.concatenate(v) for v in zip(*candidates(x, threshold, False), strict=True)] or [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32)] + [np.zeros(0, bool)] * 2
+        late, early, distance, equal, more = found
+        # Postings of one line are one line.
+        order = np.lexsort((early, distance, ~equal, x["line"][late], x["dk"][late]))
+        late, early, distance, equal, more = (v[order] for v in (late, early, distance, equal, more))
+        if len(late):
+            first = np.concatenate([[True], (x["dk"][late][1:] != x["dk"][late][:-1]) | (x["line"][late][1:] != x["line"][late][:-1])])
+            begin = np.flatnonzero(first)
+            lead = np.repeat(begin, np.diff(np.append(begin, len(late))))
+            differs = (x["dk"][early] != x["dk"][early[lead]]) | (x["line"][early] != x["line"][early[lead]])
+            more = np.logical_or.reduceat(more | differs, begin)
+            late, early, distance, equal = (v[begin] for v in (late, early, distance, equal))
+        return pair_table(x, late, early, distance, equal, more)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 2 << 20):
@@ -237,29 +286,72 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         return both.select("dk", "line", "more", (common >= threshold * (F.size("words") + F.size("other_words") - common) - 1e-9).alias("hit"))
 
     # One candidate for each line: an equal set if there is one, else the nearest sketch.
-    postings = docs.select("doc", "dk", "text").mapInArrow(post, POSTINGS)
-    best = F.min(F.struct(~F.col("equal"), "distance", "other_dk", "other_line")).alias("b")
+    slim = docs.select("doc", "dk", "text")
+    postings = slim.mapInArrow(post(False), POSTINGS)
+    found = postings.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("line", "dk"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
+
+    def settle(group: pa.Table) -> pa.Table:
+        if group.column("bucket")[0].as_py() >= 0:
+            return best(group)
+        x = unpacked(group)
+        own = np.arange(len(x["dk"]))
+        return pair_table(x, own, own, np.zeros(len(own), np.int32), np.ones(len(own), bool), np.zeros(len(own), bool))
+
+    rows = found.groupBy("bucket").applyInArrow(settle, PAIRS)
+    order = F.struct((~F.col("equal")).cast("int").alias("unlike"), "distance", "other_dk", "other_line")
     seen = F.min(F.struct("other_dk", "other_line")) != F.max(F.struct("other_dk", "other_line"))
-    pairs = pairs_of(postings, False).groupBy("dk", "line").agg(best, (F.max("more") | seen).alias("more"))
-    pairs = materialize(pairs.select("dk", "line", "b.other_dk", "b.other_line", (~F.col("b.col1")).alias("equal"), "more"), "pairs")
+    pairs = rows.groupBy("dk", "line").agg(F.min(order).alias("b"), (F.max("more") | seen).alias("more"))
+    pairs = materialize(pairs.select("dk", "line", "b.other_dk", "b.other_line", (F.col("b.unlike") == 0).alias("equal"), "more"), "pairs")
     tested = materialize(verified(pairs.where("not equal")), "tested")
     gone = pairs.where("equal").select("dk", "line").union(tested.where("hit").select("dk", "line"))
-    open_lines = tested.where("not hit and more").select("dk", "line").distinct()
+    open_lines = materialize(tested.where("not hit and more").select("dk", "line").distinct(), "open")
     if not open_lines.isEmpty():
-        asks = open_lines.withColumn("asks", F.lit(True))
-        keys = materialize(postings.join(asks, ["dk", "line"]).select("key").distinct(), "keys")
-        asked = pairs_of(postings.join(keys, "key", "left_semi"), True).join(open_lines, ["dk", "line"]).where("not equal")
-        again = verified(materialize(asked.select("dk", "line", "other_dk", "other_line", "more").dropDuplicates(["dk", "line", "other_dk", "other_line"]), "pairs"))
+        again = verified(materialize(every_candidate(slim, open_lines, post(True), unpacked, pair_table, threshold), "pairs"))
         gone = gone.union(again.where("hit").select("dk", "line"))
     return materialize(gone.distinct().groupBy("dk").agg(F.collect_list("line").alias("lines")), "gone")
 
 
-def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    """The batches that have rows, then None."""
-    for batch in batches:
-        if batch.num_rows:
-            yield batch
-    yield None
+def every_candidate(slim: DataFrame, open_lines: DataFrame, post, unpacked, pair_table, threshold: float) -> DataFrame:
+    """All candidates of the open lines: each range of keys meets the open lines' own postings, wherever they are."""
+    asked = open_lines.groupBy("dk").agg(F.collect_list("line").alias("lines"))
+    texts = slim.join(asked, "dk")
+
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = {(d, i) for d, ls in zip(batch.column("dk").to_pylist(), batch.column("lines").to_pylist(), strict=True) for i in ls}
+            for part in post(iter([batch.select(["doc", "dk", "text"])])):
+                buckets = part.column("bucket").to_numpy()
+                for k in range(part.num_rows):
+                    x = unpacked(pa.Table.from_batches([part.slice(k, 1)]))
+                    own = np.array([(d, i) in wanted for d, i in zip(x["dk"].tolist(), x["line"].tolist(), strict=True)], bool)
+                    keys = np.unique(x["key"][own])
+                    if len(keys):
+                        names, kinds = ("bucket", "asked", "lines"), (pa.int32(), pa.binary(), pa.binary())
+                        who = np.stack([x["dk"][own], x["line"][own].astype(np.int64)], axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((int(buckets[k]), keys.tobytes(), np.unique(who, axis=0).tobytes()), kinds, strict=True)], list(names))
+
+    questions = texts.mapInArrow(mine, "bucket int, asked binary, lines binary")
+
+    def answer(group: pa.Table, question: pa.Table) -> pa.Table:
+        empty = pair_table({"dk": np.zeros(0, np.int64), "line": np.zeros(0, np.int32)}, *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.int32), *[np.zeros(0, bool)] * 2)
+        if not group.num_rows or not question.num_rows:
+            return empty
+        keys = np.unique(np.concatenate([np.frombuffer(q, "<u8") for q in question.column("asked").to_pylist()]))
+        who = np.unique(np.concatenate([np.frombuffer(q, "<i8").reshape(-1, 2) for q in question.column("lines").to_pylist()]), axis=0)
+        x = unpacked(group)
+        own = np.isin(x["key"], keys)
+        x = {c: v[own] for c, v in x.items()}
+        wanted = np.zeros(len(x["dk"]), bool)
+        ids = np.stack([x["dk"], x["line"].astype(np.int64)], axis=1)
+        if len(ids):
+            known, inverse = np.unique(np.concatenate([who, ids]), axis=0, return_inverse=True)
+            wanted = np.isin(inverse.ravel()[len(who) :], inverse.ravel()[: len(who)])
+        out = [pair_table(x, *(v[wanted[late]] for v in (late, early, distance, equal, more))) for late, early, distance, equal, more in candidates(x, threshold, True)]
+        return pa.concat_tables([empty, *out])
+
+    postings = slim.mapInArrow(post, POSTINGS)
+    pairs = postings.groupBy("bucket").cogroup(questions.groupBy("bucket")).applyInArrow(answer, PAIRS)
+    return pairs.where("not equal").select("dk", "line", "other_dk", "other_line", "more").dropDuplicates(["dk", "line", "other_dk", "other_line"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list:
