@@ -10,6 +10,7 @@ from __future__ import annotations
 import importlib.util
 import json
 import logging
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -17,7 +18,6 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PRE, PROCESS, POST = KINDS = ("pre", "process", "post")
@@ -134,18 +134,18 @@ class _Loaded:
         return space[self.name](*args)
 
 
-_contexts: dict[str, dict] = {}
+_contexts: dict[tuple[str, str], dict] = {}
 
 
-def _context(stage: Stage) -> dict:
-    """Built once in each worker; an init that fails gives an empty one."""
-    if stage.name not in _contexts:
+def _context(plan: str, name: str, init: Callable[[], dict]) -> dict:
+    """Of a stage in a plan, built once in each worker; an init that fails gives an empty one."""
+    if (plan, name) not in _contexts:
         try:
-            _contexts[stage.name] = stage.init()
+            _contexts[plan, name] = init()
         except Exception:
-            log.exception("init of stage %s failed", stage.name)
-            _contexts[stage.name] = {}
-    return _contexts[stage.name]
+            log.exception("init of stage %s failed", name)
+            _contexts[plan, name] = {}
+    return _contexts[plan, name]
 
 
 def _python(df: DataFrame, steps: list[tuple[Stage, Hook]], key: str, order: str, errors: str) -> DataFrame:
@@ -156,7 +156,9 @@ def _python(df: DataFrame, steps: list[tuple[Stage, Hook]], key: str, order: str
     if keep_errors and "hook_error" not in schema.names:
         schema = T.StructType([*schema.fields, T.StructField("hook_error", T.StringType())])
     names, before = schema.names, df.columns
+    work = [(s.name, s.init, h.frame, h.stateful) for s, h in steps]  # what the workers need
     stateful = any(h.stateful for _, h in steps)
+    plan = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states: dict[int, dict] = {}
@@ -172,17 +174,17 @@ def _python(df: DataFrame, steps: list[tuple[Stage, Hook]], key: str, order: str
                     out.append(row)
                     continue
                 original = row.get(PROTECTED)
-                for i, (stage, hook) in enumerate(steps):
-                    context = _context(stage)
-                    if hook.stateful:
+                for i, (stage, init, frame, keeps_state) in enumerate(work):
+                    context = _context(plan, stage, init)
+                    if keeps_state:
                         context = {**context, "state": states.setdefault(i, {})}
                     try:
-                        hook.frame(row, context)
+                        frame(row, context)
                     except Exception as e:
                         if i not in failed:  # once a task
                             failed.add(i)
-                            log.warning("hook of stage %s failed: %s", stage.name, e)
-                        row = {**dict(zip(before, values, strict=True)), "hook_error": f"{stage.name}: {e}"} if keep_errors else None
+                            log.warning("hook of stage %s failed: %s", stage, e)
+                        row = {**dict(zip(before, values, strict=True)), "hook_error": f"{stage}: {e}"} if keep_errors else None
                         break
                     if PROTECTED in row:
                         row[PROTECTED] = original
@@ -221,6 +223,6 @@ def execute(df: DataFrame, path: list[str], registry: Registry, key: str = "pipe
             return hook.rows(d)
         if hook.columns:
             d = d.withColumns({n: c for n, c in hook.columns.items() if n != PROTECTED})
-        return d if hook.where is None else d.where(F.coalesce(hook.where, F.lit(False)))
+        return d if hook.where is None else d.where(hook.where)
 
     return reduce(apply, runs, df)
