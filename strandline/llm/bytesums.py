@@ -19,19 +19,17 @@ def letters(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-@cache
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, base, np.uint64)
-    up[0] = 1
-    down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    down[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, base: int = int(BASE)) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    up, down = _powers(base, 1 << max(10, (n - 1).bit_length()))
+    """base**i and base**-i modulo 2**64 for i < n; a worker keeps the longest that it has needed."""
+    if base not in _known or len(_known[base][0]) < n:
+        size = 1 << max(10, (n - 1).bit_length())
+        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _known[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    up, down = _known[base]
     return up[:n], down[:n]
 
 

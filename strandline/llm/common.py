@@ -17,7 +17,17 @@ from pyspark.sql import functions as F
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Texts are long: fewer rows an Arrow batch than Spark's default keep it small.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get(BATCH)) > ROWS:
+        spark.conf.set(BATCH, ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,9 +64,15 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def input_mb(df: DataFrame) -> float:
-    """Catalyst's size estimate of a plan, in MB; it scales the number of blocks with the data."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) / 1e6
+def input_mb(df: DataFrame, text: str) -> float:
+    """MB of a table by Catalyst's estimate, which for files is their size; where it knows none, half of the texts' bytes.
+
+    It scales the number of blocks with the data.
+    """
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if known < 1 << 49:
+        return known / 1e6
+    return (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) / 2e6
 
 
 def crc_fold(id_col: str, folds: int):

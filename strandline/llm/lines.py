@@ -16,7 +16,7 @@ from strandline.llm.common import chunks, input_mb, materialize, table, texts_of
 LAST = np.iinfo(np.int64).max
 FREQUENT = 16_384
 HOT = 20_000
-SLAB = 1 << 20
+SLAB = 1 << 18
 #: Postings of a chunk of texts, for one range of keys: arrays of the posted words, of their lines and of the texts.
 POSTINGS = "bucket int, key binary, pos binary, at binary, n binary, line binary, text binary, sketch binary, sketch2 binary, same binary, doc binary, dk binary"
 POSTED, OF_LINE, OF_TEXT = {"key": "<u8", "pos": "<u4", "at": "<u4"}, {"n": "<u4", "line": "<u4", "text": "<u4", "sketch": "<u8", "sketch2": "<u8", "same": "<u8"}, {"doc": "<i8", "dk": "<i8"}
@@ -139,7 +139,7 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[tuple[int, int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text", 1 << 20):
             data, _ = bytesums.joined(texts_of(batch, "text"))
             data = bytesums.LOWER[data]
             a, b = bytesums.words(data)
@@ -167,11 +167,11 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     slices_of = {int(np.uint64(w & (2**64 - 1))): -(-n // HOT) for w, n in known if n > HOT}
     hot = np.array(sorted(slices_of), np.uint64)
     hot_slices = np.array([slices_of[int(w)] for w in hot], np.int64)
-    buckets = max(64, int(input_mb(docs) / 8) + 1)
+    buckets = max(64, int(input_mb(docs, "text") / 8) + 1)
 
     def post(only: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, "text", 4 << 20):
+            for batch in chunks(batches, "text", 1 << 20):
                 yield from _posted(batch, only)
 
         return run
@@ -263,7 +263,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         return pair_table(x, late, early, distance, equal, more)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text", 1 << 20):
             lines = Lines(texts_of(batch, "text"))
             lists = batch.column("lines")
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
@@ -379,7 +379,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     gone = removed_lines(slim, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text", 1 << 20):
             rows = []
             for text, lines in zip(texts_of(batch, "text"), batch.column("lines").to_pylist(), strict=True):
                 n, kept = _kept(text, lines) if lines else (text.count(b"\n") + 1, text)

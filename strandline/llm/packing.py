@@ -26,14 +26,16 @@ def encoder(json_path: str, ranks_path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
+    slow = []  # a large object that few texts need
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
         if SPECIAL in text:
-            return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+            if not slow:
+                slow.append(Tokenizer.from_file(json_path))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(fast.encode_ordinary(text), "<u4")
 
     return encode
@@ -62,7 +64,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_le
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(str(json_path), str(ranks_path))
-        for batch in chunks(batches, "text", 4 << 20):
+        for batch in chunks(batches, "text", 1 << 20):
             rows, starts, lengths, sums, totals, kept = [], [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.append(encode(text or ""), np.array([end_id], "<u4")).astype("<u4")
