@@ -94,3 +94,19 @@ def without_streams(store: DataFrame, finished: DataFrame) -> DataFrame:
 def first_caps(rows: DataFrame) -> DataFrame:
     """The first capabilities row of each stream."""
     return rows.where(F.col("kind") == schemas.CAPS).groupBy("pipeline_id").agg(F.min_by("frame_number", "frame_number").alias("frame_number"), F.min_by("value", "frame_number").alias("value"))
+
+
+def spread_fold(rows: DataFrame, key: str, order: list[str], bucket: Column, folds: dict[str, Column]) -> DataFrame:
+    """Running sums (name: value) of each stream for streams too large for one task.
+
+    bucket rises with the order, so a stream is a sequence of buckets: sums run within a bucket, and start from the total
+    of the stream's earlier buckets. The totals are one row a stream and bucket, added up before they are shuffled.
+    """
+    cut = rows.withColumn("_bucket", bucket)
+    totals = cut.groupBy(key, "_bucket").agg(*[F.sum(v).alias(f"_total_{n}") for n, v in folds.items()])
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(key, "_bucket", *[F.coalesce(F.sum(f"_total_{n}").over(earlier), F.lit(0)).alias(f"_from_{n}") for n in folds])
+    inside = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut.withColumns({f"_sum_{n}": F.sum(v).over(inside) for n, v in folds.items()})
+    joined = local.join(starts, [key, "_bucket"])
+    return joined.select(*rows.columns, *[(F.col(f"_from_{n}") + F.col(f"_sum_{n}")).alias(n) for n in folds])

@@ -38,6 +38,15 @@ def frame_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bus(spark, sf_dir).select("pipeline_id", "frame_number", "event_id", "pts")
 
 
+@query("""SELECT event_id, user_id AS pipeline_id, CAST(row_number() OVER w AS BIGINT) AS frame_number, round(sum(value) OVER (w ROWS UNBOUNDED PRECEDING), 4) AS total FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def frame_numbering_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and running totals where one stream may hold a large part of all rows: its days are numbered apart."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("pipeline_id"), "ts", "value")
+    out = ops.spread_fold(rows, "pipeline_id", ["ts", "event_id"], day(), {"frame_number": F.lit(1), "total": F.col("value")})
+    return out.select("event_id", "pipeline_id", F.col("frame_number").cast("long").alias("frame_number"), F.round("total", 4).alias("total"))
+
+
 @query(f"{FRAMES} SELECT pipeline_id, frame_number, epoch_us(lead(ts) OVER (PARTITION BY pipeline_id ORDER BY frame_number)) - epoch_us(ts) AS duration_us FROM frames")
 def frame_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.with_duration(bus(spark, sf_dir)).select("pipeline_id", "frame_number", "duration_us")
