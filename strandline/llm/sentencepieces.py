@@ -47,38 +47,28 @@ class Codec:
         for i in normal:
             self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), i, scores[i]))
         self.automaton.make_automaton()
+        self.characters = {self.pieces[i] for i in normal if len(self.pieces[i]) == 1}
+        self.special = self.byte_of.keys() | self.silent
         # Pieces hold a space mark only in front, so the best path of a text is that of its words one after another.
         split = not any(re.search(f"[^{SPACE}]{SPACE}", self.pieces[i]) for i in normal)
-        self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if split else r"(?s:.+)")
+        # A line feed that no piece holds is an unknown arc by itself, so it parts words too.
+        feed = "" if any("\n" in self.pieces[i] for i in normal) else "\n"
+        self.words = re.compile(f"{SPACE}+[^{SPACE}{feed}]*|[^{SPACE}{feed}]+" + "|\n" * bool(feed) if split else r"(?s:.+)")
         self.known: dict[str, tuple[list[int], float]] = {}
 
     def viterbi(self, word: str) -> tuple[list[int], float]:
         n = len(word)
-        best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
-        done = 0  # ends up to here have been settled
-
-        def settle(end: int) -> None:
-            """The unknown arc of an end that no piece of one character has."""
-            if not single[end] and (s := best[end - 1] + self.unknown_score) > best[end]:
-                best[end], back[end] = s, (end - 1, -1)
-
-        single = [False] * (n + 1)
-        for last, (length, piece, score) in self.automaton.iter(word):
-            end = last + 1
-            while done < end - 1:
-                done += 1
-                settle(done)
-            if length == 1:
-                single[end] = True
-            if (s := best[end - length] + score) > best[end]:
-                best[end], back[end] = s, (end - length, piece)
-        while done < n:
-            done += 1
-            settle(done)
+        best, start_of, piece_of = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        if self.characters.issuperset(word):
+            for last, (length, piece, score) in self.automaton.iter(word):
+                if (s := best[last + 1 - length] + score) > best[last + 1]:
+                    best[last + 1], start_of[last + 1], piece_of[last + 1] = s, last + 1 - length, piece
+        else:
+            self._with_unknown(word, best, start_of, piece_of)
         out: list[int] = []
         at = n
         while at:
-            start, piece = back[at]
+            start, piece = start_of[at], piece_of[at]
             if piece >= 0:
                 out.append(piece)
             elif self.bytes:
@@ -88,6 +78,24 @@ class Codec:
             at = start
         return out[::-1], best[n]
 
+    def _with_unknown(self, word: str, best: list[float], start_of: list[int], piece_of: list[int]) -> None:
+        """The same pass for a word with characters that no piece covers: each such end also has an unknown arc."""
+
+        def settle(end: int) -> None:
+            if word[end - 1] not in self.characters and (s := best[end - 1] + self.unknown_score) > best[end]:
+                best[end], start_of[end], piece_of[end] = s, end - 1, -1
+
+        done = 0  # ends up to here have been settled
+        for last, (length, piece, score) in self.automaton.iter(word):
+            while done < last:
+                done += 1
+                settle(done)
+            if (s := best[last + 1 - length] + score) > best[last + 1]:
+                best[last + 1], start_of[last + 1], piece_of[last + 1] = s, last + 1 - length, piece
+        while done < len(word):
+            done += 1
+            settle(done)
+
     def encode(self, text: str) -> tuple[list[int], float]:
         """Ids and score; an empty text has none and 0."""
         ids: list[int] = []
@@ -109,7 +117,7 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         """The text of ids; space marks are spaces, invalid byte sequences U+FFFD, the mark put in front is taken off."""
         byte_of, pieces = self.byte_of, self.pieces
-        if byte_of.keys().isdisjoint(ids) and self.silent.isdisjoint(ids):
+        if self.special.isdisjoint(ids):
             text = "".join([pieces[i] for i in ids])
         else:
             text = b"".join([bytes([byte_of[i]]) if i in byte_of else b"" if i in self.silent else pieces[i].encode() for i in ids]).decode(errors="replace")
