@@ -14,8 +14,9 @@ from strandline.llm import bytesums
 from strandline.llm.common import chunks, input_mb, materialize, table, texts_of
 
 LAST = np.iinfo(np.int64).max
-FREQUENT = 16_384
 HOT = 20_000
+#: Slices of the postings of a word, by its frequency class.
+SLICES = np.minimum(4096, np.ceil(2 ** (np.arange(256) / 8) / HOT)).astype(np.int64)
 SLAB = 1 << 18
 #: Postings of a chunk of texts, for one range of keys: arrays of the posted words, of their lines and of the texts.
 POSTINGS = "bucket int, key binary, pos binary, at binary, n binary, line binary, text binary, sketch binary, sketch2 binary, same binary, doc binary, dk binary"
@@ -23,6 +24,23 @@ POSTED, OF_LINE, OF_TEXT = {"key": "<u8", "pos": "<u4", "at": "<u4"}, {"n": "<u4
 PAIRS = "dk long, line int, other_dk long, other_line int, distance int, equal boolean, more boolean"
 
 
+def _order(line: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Order by (line, rank of 44 bits), ties of the bits that fit by place; line is sorted."""
+    n = len(line)
+    at_bits = max(1, (n - 1).bit_length()) if n else 1
+    line_bits = max(1, int(line[-1]).bit_length()) if n else 1
+    rank_bits = 64 - at_bits - line_bits
+    if rank_bits < 28:
+        return np.lexsort((rank, line))
+    short = rank >> np.uint64(44 - min(44, rank_bits))
+    packed = (line.astype(np.uint64) << np.uint64(64 - line_bits)) | (short << np.uint64(at_bits + max(0, rank_bits - 44))) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << at_bits) - 1)).astype(np.int64)
+    cut = packed >> np.uint64(at_bits)
+    tied = (cut[1:] == cut[:-1]) & (rank[order[1:]] != rank[order[:-1]])
+    return np.lexsort((rank, line)) if tied.any() else order  # words that share the bits that fit: in full
+
+
 class Lines:
     """The lines of a chunk of texts as sets of lower-cased words, each in order of rarity.
 
@@ -30,34 +48,33 @@ class Lines:
     words are left out.
     """
 
-    def __init__(self, texts: list[bytes], frequent: np.ndarray | None = None) -> None:
+    def __init__(self, texts: list[bytes], classes: np.ndarray | None = None) -> None:
         data, starts = bytesums.joined(texts)
         data = bytesums.LOWER[data]
         a, b = bytesums.words(data)
         hashes = bytesums.span_hash(bytesums.prefix(data, 8), a, b)
         ends = np.flatnonzero(data == 10)
-        line = np.searchsorted(ends, a)
-        rank = hashes >> np.uint64(21)
-        if frequent is not None and len(frequent):
-            # frequent: hashes by rising count; their ranks stand above all others.
-            by = np.argsort(frequent)
-            at = np.minimum(np.searchsorted(frequent[by], hashes), len(frequent) - 1)
-            common = frequent[by][at] == hashes
-            rank[common] = np.uint64(1 << 43) + by[at[common]].astype(np.uint64)
-        order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | rank)
-        line, rank, hashes = line[order], rank[order], hashes[order]
-        if len(line) and ((line[1:] == line[:-1]) & (rank[1:] == rank[:-1]) & (hashes[1:] != hashes[:-1])).any():
+        count = np.diff(np.searchsorted(a, ends), prepend=0)
+        full = np.flatnonzero(count)
+        count = count[full]
+        line = np.repeat(np.arange(len(full)), count)
+        # Ranks of 44 bits: by frequency class, then by hash.
+        rank = hashes >> np.uint64(28)
+        if classes is not None:
+            rank |= classes[slot_of(hashes, len(classes))].astype(np.uint64) << np.uint64(36)
+        order = _order(line, rank)
+        hashes, rank = hashes[order], rank[order]  # lines stay in place: they were in order
+        same_line = line[1:] == line[:-1]
+        if (same_line & (rank[1:] == rank[:-1]) & (hashes[1:] != hashes[:-1])).any():
             order = np.lexsort((hashes, rank, line))
-            line, rank, hashes = line[order], rank[order], hashes[order]
+            hashes = hashes[order]
         new = np.ones(len(line), bool)
-        new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-        line, self.token = line[new], hashes[new]
-        first = np.flatnonzero(np.diff(line, prepend=-1))
-        self.start = np.append(first, len(line))
-        own = line[first]
-        self.text = np.searchsorted(starts, ends[own], side="right") - 1
-        self.number = own - np.searchsorted(ends, starts[self.text])
-        self.size = np.diff(self.start)
+        new[1:] = ~same_line | (hashes[1:] != hashes[:-1])
+        self.token = hashes[new]
+        self.size = np.add.reduceat(new, np.cumsum(count) - count, dtype=np.int64) if len(line) else np.zeros(0, np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.text = np.searchsorted(starts, ends[full], side="right") - 1
+        self.number = full - np.searchsorted(ends, starts[self.text])
 
     def folded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each set: the parity of its words on 128 bits, and a hash of the set.
@@ -98,7 +115,9 @@ def candidates(x: dict[str, np.ndarray], threshold: float, every: bool) -> Itera
     span = np.int64(1 << 32)
     sizes = rank * span + n
     low = np.searchsorted(sizes[short], rank * span + np.ceil(threshold * n - 1e-9).astype(np.int64))
-    high = np.searchsorted(sizes[short], sizes, side="right")
+    # What stands behind a late word can't give the overlap with a set that is too large.
+    largest = np.minimum(n, np.floor((1 + threshold) / threshold * (n - pos) + 1e-9).astype(np.int64) - n)
+    high = np.maximum(low, np.searchsorted(sizes[short], rank * span + np.maximum(largest, 0), side="right"))
     total = np.concatenate([[0], np.cumsum(high - low)])
     at = 0
     while at < len(key):
@@ -131,25 +150,43 @@ def candidates(x: dict[str, np.ndarray], threshold: float, every: bool) -> Itera
         at = to
 
 
-def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[tuple[int, int]]:
-    """(hash, count) of the corpus's most frequent words, `most` at most, by rising count.
+def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
+    """The slot of a word among a power of two, from bits of its hash that ranks don't use."""
+    return (hashes & np.uint64(slots - 1)).astype(np.int64)
+
 
-    Every task adds up the words that come four times or more in a chunk of texts. Words outside the list count as
-    rarer than those in it; any order of words gives the same join, this one gives it few candidates.
+def frequency_classes(docs: DataFrame, slots: int) -> np.ndarray:
+    """For each slot of words, how often they occur in the corpus: 8 times the binary logarithm, as a byte.
+
+    Tasks count all words of their texts in a table of `slots` numbers and send it in slices, which are added up. Words
+    of a slot share a class, so a rare word may count as less rare than it is: any order of words gives the same join,
+    and one near to rarity gives it few candidates.
     """
+    parts = 64
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.uint32)
         for batch in chunks(batches, "text", 1 << 20):
             data, _ = bytesums.joined(texts_of(batch, "text"))
             data = bytesums.LOWER[data]
             a, b = bytesums.words(data)
-            word, count = np.unique(bytesums.span_hash(bytesums.prefix(data, 8), a, b), return_counts=True)
-            keep = count >= 4
-            yield pa.RecordBatch.from_arrays([pa.array(word[keep].view(np.int64)), pa.array(count[keep])], ["word", "n"])
+            slot = slot_of(bytesums.span_hash(bytesums.prefix(data, 8), a, b), slots)
+            if len(slot) * 8 < slots:
+                np.add.at(total, slot, np.uint32(1))
+            else:
+                total += np.bincount(slot, minlength=slots).astype(np.uint32)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in np.split(total, parts)], pa.binary())], ["part", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in group.column("counts").to_pylist())
+        kind = np.minimum(255, np.ceil(8 * np.log2(total + 1))).astype(np.uint8)
+        return pa.table({"part": group.column("part")[:1], "classes": pa.array([kind.tobytes()], pa.binary())})
 
-    counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "word").limit(most).collect()
-    return sorted(((r.word, r.n) for r in rows), key=lambda r: (r[1], r[0]))
+    counted = docs.select("text").mapInArrow(count, "part int, counts binary")
+    rows = counted.groupBy("part").applyInArrow(add, "part int, classes binary").collect()  # `slots` bytes together
+    found = {r.part: np.frombuffer(r.classes, np.uint8) for r in rows}
+    return np.concatenate([found[i] for i in range(parts)]) if found else np.zeros(slots, np.uint8)
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -162,12 +199,9 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sketch filters: the one nearest by sketch. So a group of thousands of near copies gives a pair a line, not all pairs.
     The sets of each pair decide. Lines whose pair fails though they had more are asked again for every candidate.
     """
-    known = frequent_words(docs)
-    words = np.array([w for w, _ in known], np.int64).view(np.uint64)
-    slices_of = {int(np.uint64(w & (2**64 - 1))): -(-n // HOT) for w, n in known if n > HOT}
-    hot = np.array(sorted(slices_of), np.uint64)
-    hot_slices = np.array([slices_of[int(w)] for w in hot], np.int64)
-    buckets = max(64, int(input_mb(docs, "text") / 8) + 1)
+    mb = input_mb(docs, "text")
+    classes = frequency_classes(docs, 1 << min(26, max(20, int(mb * 2048).bit_length())))
+    buckets = max(64, int(mb / 8) + 1)
 
     def post(only: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +212,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     def _posted(batch: pa.RecordBatch, only: bool) -> Iterator[pa.RecordBatch]:
         """Postings of a chunk, and in bucket -1 the lines that repeat one of the chunk."""
-        lines = Lines(texts_of(batch, "text"), words)
+        lines = Lines(texts_of(batch, "text"), classes)
         doc, dk = (batch.column(c).to_numpy() for c in ("doc", "dk"))
         sketch, sketch2, same = lines.folded()
         order = np.lexsort((lines.number, doc[lines.text], same))
@@ -192,10 +226,9 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         pos = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
         key = np.where(n[row] < 4, same[row], lines.token[lines.start[row] + pos])
         pos = np.where(n[row] < 4, 0, pos)
-        if len(hot):
-            # Postings of words known to be frequent are cut into slices, and each pair of slices is a key.
-            place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-            cut = np.where((n[row] >= 4) & (hot[place] == key), hot_slices[place], 1)
+        # Postings of words that may be frequent are cut into slices, and each pair of slices is a key.
+        cut = np.where(n[row] < 4, 1, SLICES[classes[slot_of(key, len(classes))]])
+        if cut.max(initial=1) > 1:
             again = np.repeat(np.arange(len(row)), cut)
             other = np.arange(len(again)) - np.repeat(np.cumsum(cut) - cut, cut)
             mine = (bytesums.mix(same[row]) % cut.astype(np.uint64)).astype(np.int64)[again]
