@@ -35,6 +35,15 @@ def ceil_to(value: Column, step: int = 32) -> Column:
     return (F.ceil(value / step) * step).cast("int")
 
 
+def fit_longer(width: Column, height: Column, to: int = 256, step: int = 32) -> Column:
+    """Frame scaled until its longer side is `to` (the other rounded up), and the input size padded to a multiple of step."""
+    tall = height > width
+    w = F.when(tall, F.ceil(width * (F.lit(float(to)) / height))).otherwise(to).cast("int")
+    h = F.when(tall, to).otherwise(F.ceil(height * (F.lit(float(to)) / width))).cast("int")
+    padded = lambda v: ceil_to(v, step)
+    return F.struct(w.alias("width"), h.alias("height"), F.when(tall, padded(w)).otherwise(to).alias("input_width"), F.when(tall, to).otherwise(padded(h)).alias("input_height"))
+
+
 def unletterbox(box: Column, width: Column, height: Column, from_width: int = 640, from_height: int = 640) -> Column:
     """A box (x, y, w, h) of a padded square input as left, top, width, height in the frame."""
     tall = height > width

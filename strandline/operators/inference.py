@@ -112,6 +112,50 @@ def infer(df: DataFrame, spec: InferenceSpec, source: str = "inference_input", t
     return df.mapInPandas(run, schema)
 
 
+class Model:
+    """A model in three steps, for any runtime: subclasses say how a frame becomes an input and an output a result."""
+
+    def open(self) -> None:
+        """Load what a worker needs; once a task."""
+
+    def prepare(self, row: dict) -> np.ndarray | None:
+        """The input of a frame; None leaves the frame out."""
+        raise NotImplementedError
+
+    def run(self, inputs: np.ndarray) -> np.ndarray:
+        """Outputs of a batch of inputs of one shape."""
+        raise NotImplementedError
+
+    def finish(self, output: np.ndarray, row: dict) -> dict:
+        """Columns of the result."""
+        raise NotImplementedError
+
+
+def apply_model(df: DataFrame, model: Model, writes: dict[str, T.DataType], most: int = 64) -> DataFrame:
+    """Add the columns that the model writes; inputs of equal shape run together, frames left out get nulls."""
+    schema = T.StructType([f for f in df.schema.fields if f.name not in writes] + [T.StructField(n, t) for n, t in writes.items()])
+    names = schema.names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model.open()
+        for batch in batches:
+            rows = batch.to_dict("records")
+            groups: dict[tuple, list[tuple[dict, np.ndarray]]] = {}
+            for row in rows:
+                row.update(dict.fromkeys(writes))
+                x = model.prepare(row)
+                if x is not None:
+                    groups.setdefault((x.shape, x.dtype.str), []).append((row, x))
+            for members in groups.values():
+                for at in range(0, len(members), most):
+                    part = members[at : at + most]
+                    for (row, _), output in zip(part, model.run(np.stack([x for _, x in part])), strict=True):
+                        row.update(model.finish(output, row))
+            yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
+
+    return df.mapInPandas(run, schema)
+
+
 def inference_hook(spec: InferenceSpec, kind: str = PROCESS) -> Hook:
     return Hook(kind, rows=lambda d: infer(d, spec))
 

@@ -248,6 +248,15 @@ def aspect_and_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", geometry.fit_width(w, h)["height"].alias("fitted"), pad["top"].alias("pad_top"), pad["bottom"].alias("pad_bottom"), geometry.ceil_to(w).alias("padded"), geometry.line_width(w, h).alias("line_width"))
 
 
+@query("""WITH s AS (SELECT event_id, 1 + event_id % 1920 AS w, 1 + (event_id * 7) % 1080 AS h FROM events),
+  r AS (SELECT event_id, w, h, CASE WHEN h > w THEN ceil(w * (256.0::DOUBLE / h)) ELSE 256 END AS sw, CASE WHEN h > w THEN 256 ELSE ceil(h * (256.0::DOUBLE / w)) END AS sh FROM s)
+  SELECT event_id, CAST(sw AS INTEGER) AS width, CAST(sh AS INTEGER) AS height, CAST(CASE WHEN h > w THEN ceil(sw / 32) * 32 ELSE 256 END AS INTEGER) AS input_width,
+  CAST(CASE WHEN h > w THEN 256 ELSE ceil(sh / 32) * 32 END AS INTEGER) AS input_height FROM r""")
+def pose_input_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = geometry.fit_longer(1 + F.col("event_id") % 1920, 1 + (F.col("event_id") * 7) % 1080)
+    return table(spark, sf_dir, "events").select("event_id", size.alias("s")).select("event_id", "s.*")
+
+
 ANGLE = "CASE WHEN atan2(value - 50, CAST(event_id % 101 AS DOUBLE) - 50) < 0 THEN atan2(value - 50, CAST(event_id % 101 AS DOUBLE) - 50) + 2 * pi() ELSE atan2(value - 50, CAST(event_id % 101 AS DOUBLE) - 50) END"
 
 

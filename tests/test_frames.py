@@ -282,3 +282,21 @@ def test_key_values(spark):
     rows = [(1, 1, "get", "a", ""), (1, 2, "set", "a", "x"), (1, 3, "get", "a", ""), (2, 1, "get", "a", ""), (1, 4, "end", "", ""), (1, 5, "get", "a", "")]
     df = spark.createDataFrame(rows, "pipeline_id long, seq long, op string, key string, value string")
     assert {(r.pipeline_id, r.seq, r.value) for r in ordered.key_values(df).collect()} == {(1, 1, ""), (1, 3, "x"), (2, 1, ""), (1, 5, "")}
+
+
+class Sum(inference.Model):
+    """Adds up the pixels of frames with an even number."""
+
+    def prepare(self, row):
+        return np.frombuffer(row["modified"], np.uint8).astype(np.int64) if row["frame_number"] % 2 == 0 else None
+
+    def run(self, inputs):
+        return inputs.sum(1)
+
+    def finish(self, output, row):
+        return {"total": int(output)}
+
+
+def test_model_steps(spark):
+    rows = inference.apply_model(frame_source(spark, frames=4).select("frame_number", "modified"), Sum(), {"total": T.LongType()}).collect()
+    assert {r.frame_number: r.total for r in rows} == {n: sum(synthetic(0, n, 4, 3)) if n % 2 == 0 else None for n in range(1, 5)}
