@@ -98,6 +98,16 @@ def _later(doc: np.ndarray, line: np.ndarray, i: np.ndarray, j: np.ndarray) -> n
     return (doc[j] > doc[i]) | ((doc[j] == doc[i]) & (line[j] > line[i]))
 
 
+def _by_key_and_size(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Order by (key, n): by 44 bits of the key and the size in one number, or in full where that can't tell."""
+    if len(key) and n.max() < 1 << 20:
+        order = np.argsort(key & ~np.uint64((1 << 20) - 1) | n.astype(np.uint64))
+        k = key[order]
+        if not ((k[1:] != k[:-1]) & (k[1:] >> np.uint64(20) == k[:-1] >> np.uint64(20))).any():
+            return order
+    return np.lexsort((n, key))
+
+
 def candidates(x: dict[str, np.ndarray], threshold: float, every: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """Places (later line, earlier line), distance, equal, more: pairs of postings of one key that pass all filters.
 
@@ -106,7 +116,7 @@ def candidates(x: dict[str, np.ndarray], threshold: float, every: bool) -> Itera
     filter: sets at the threshold differ in few words. Of the candidates of a later line in a slab, the nearest by
     sketch (an equal set before all), or every one.
     """
-    order = np.lexsort((x["n"], x["key"]))
+    order = _by_key_and_size(x["key"], x["n"])
     key, n, pos = x["key"][order], x["n"][order].astype(np.int64), x["pos"][order].astype(np.int64)
     # The shorter of a pair: only postings of its shorter prefix, in the same order.
     short = np.flatnonzero(pos <= n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9))
@@ -203,15 +213,16 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     classes = frequency_classes(docs, 1 << min(26, max(20, int(mb * 2048).bit_length())))
     buckets = max(64, int(mb / 8) + 1)
 
-    def post(only: bool):
+    def post(only: bool, asked: np.ndarray | None = None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, "text", 1 << 20):
-                yield from _posted(batch, only)
+                yield from _posted(batch, only, asked)
 
         return run
 
-    def _posted(batch: pa.RecordBatch, only: bool) -> Iterator[pa.RecordBatch]:
-        """Postings of a chunk, and in bucket -1 the lines that repeat one of the chunk."""
+    def _posted(batch: pa.RecordBatch, only: bool, asked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """Postings of a chunk (if there are `asked` bits, of keys whose bit is set), and in bucket -1 the lines that repeat
+        one of the chunk."""
         lines = Lines(texts_of(batch, "text"), classes)
         doc, dk = (batch.column(c).to_numpy() for c in ("doc", "dk"))
         sketch, sketch2, same = lines.folded()
@@ -235,6 +246,9 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             pair = (np.minimum(mine, other) * 65_537 + np.maximum(mine, other) + 1).astype(np.uint64)
             key = np.where(cut[again] > 1, bytesums.mix(key[again] + pair), key[again])
             row, pos = row[again], pos[again]
+        if asked is not None:
+            own = _bits(asked, key)
+            key, row, pos = key[own], row[own], pos[own]
         line_of = {"n": n, "line": lines.number, "text": lines.text, "sketch": sketch, "sketch2": sketch2, "same": same}
         by = (bytesums.mix(key) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
         order = np.argsort(by, kind="stable")
@@ -311,7 +325,8 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs with hit: whether their sets are as similar as the threshold asks."""
         ends = pairs.select("dk", "line").union(pairs.select("other_dk", "other_line")).distinct()
-        texts = docs.select("dk", "text").join(ends.groupBy("dk").agg(F.collect_list("line").alias("lines")), "dk")  # a text's own lines
+        ends = materialize(ends.groupBy("dk").agg(F.collect_list("line").alias("lines")), "ends")  # a text's own lines
+        texts = docs.select("dk", "text").join(ends, "dk")
         found = materialize(texts.mapInArrow(sets, "dk long, line int, words array<long>"), "sets")
         other = found.select(F.col("dk").alias("other_dk"), F.col("line").alias("other_line"), F.col("words").alias("other_words"))
         both = materialize(pairs.join(found, ["dk", "line"]), "pairs").join(other, ["other_dk", "other_line"])
@@ -339,20 +354,33 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     gone = pairs.where("equal").select("dk", "line").union(tested.where("hit").select("dk", "line"))
     open_lines = materialize(tested.where("not hit and more").select("dk", "line").distinct(), "open")
     if not open_lines.isEmpty():
-        again = verified(materialize(every_candidate(slim, open_lines, post(True), unpacked, pair_table, threshold), "pairs"))
+        again = verified(materialize(every_candidate(slim, open_lines, post, unpacked, pair_table, threshold), "pairs"))
         gone = gone.union(again.where("hit").select("dk", "line"))
     return materialize(gone.distinct().groupBy("dk").agg(F.collect_list("line").alias("lines")), "gone")
 
 
+ASKED_BITS = 23
+
+
+def _bits(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = (bytesums.mix(keys) & np.uint64((1 << ASKED_BITS) - 1)).astype(np.int64)
+    return (bitmap[slot >> 3] >> (slot & 7) & 1).astype(bool)
+
+
 def every_candidate(slim: DataFrame, open_lines: DataFrame, post, unpacked, pair_table, threshold: float) -> DataFrame:
-    """All candidates of the open lines: each range of keys meets the open lines' own postings, wherever they are."""
+    """All candidates of the open lines: each range of keys meets the open lines' own postings, wherever they are.
+
+    A bitmap of 2**ASKED_BITS bits, a megabyte, tells the tasks which keys may be asked for, so that few others are sent.
+    """
     asked = open_lines.groupBy("dk").agg(F.collect_list("line").alias("lines"))
     texts = slim.join(asked, "dk")
 
+    own_posts = post(True)
+
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = {(d, i) for d, ls in zip(batch.column("dk").to_pylist(), batch.column("lines").to_pylist(), strict=True) for i in ls}
-            for part in post(iter([batch.select(["doc", "dk", "text"])])):
+            for part in own_posts(iter([batch.select(["doc", "dk", "text"])])):
                 buckets = part.column("bucket").to_numpy()
                 for k in range(part.num_rows):
                     x = unpacked(pa.Table.from_batches([part.slice(k, 1)]))
@@ -363,7 +391,16 @@ def every_candidate(slim: DataFrame, open_lines: DataFrame, post, unpacked, pair
                         who = np.stack([x["dk"][own], x["line"][own].astype(np.int64)], axis=1)
                         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((int(buckets[k]), keys.tobytes(), np.unique(who, axis=0).tobytes()), kinds, strict=True)], list(names))
 
-    questions = texts.mapInArrow(mine, "bucket int, asked binary, lines binary")
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys in batch.column("asked").to_pylist():
+                slot = np.unique(bytesums.mix(np.frombuffer(keys, "<u8")) & np.uint64((1 << ASKED_BITS) - 1))
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32))], ["slot"])
+
+    questions = materialize(texts.mapInArrow(mine, "bucket int, asked binary, lines binary"), "questions")
+    slot = questions.select("asked").mapInArrow(slots, "slot int").distinct().toArrow().column("slot").to_numpy()  # 2**ASKED_BITS at most
+    bitmap = np.zeros(1 << (ASKED_BITS - 3), np.uint8)
+    np.bitwise_or.at(bitmap, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
 
     def answer(group: pa.Table, question: pa.Table) -> pa.Table:
         empty = pair_table({"dk": np.zeros(0, np.int64), "line": np.zeros(0, np.int32)}, *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.int32), *[np.zeros(0, bool)] * 2)
@@ -382,7 +419,7 @@ def every_candidate(slim: DataFrame, open_lines: DataFrame, post, unpacked, pair
         out = [pair_table(x, *(v[wanted[late]] for v in (late, early, distance, equal, more))) for late, early, distance, equal, more in candidates(x, threshold, True)]
         return pa.concat_tables([empty, *out])
 
-    postings = slim.mapInArrow(post, POSTINGS)
+    postings = slim.mapInArrow(post(True, bitmap), POSTINGS)
     pairs = postings.groupBy("bucket").cogroup(questions.groupBy("bucket")).applyInArrow(answer, PAIRS)
     return pairs.where("not equal").select("dk", "line", "other_dk", "other_line", "more").dropDuplicates(["dk", "line", "other_dk", "other_line"])
 
@@ -421,7 +458,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.join(gone, "dk", "left").select("doc_id", "text", "lines").mapInArrow(run, f"doc_id {kind}, n_lines long, n_removed long, kept_sha256 string")
+    return slim.join(gone.hint("shuffle_hash"), "dk", "left").select("doc_id", "text", "lines").mapInArrow(run, f"doc_id {kind}, n_lines long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
