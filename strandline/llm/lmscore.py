@@ -93,7 +93,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     Without training texts all scores rest on unseen words. Empty table: no rows. Other columns are not read.
     """
     mb = input_mb(docs, text_col)
-    blocks, buckets = max(64, int(mb / block_mb) + 1), max(64, int(mb / 8) + 1)
+    blocks, buckets = max(64, int(mb / block_mb) + 1), max(64, int(mb / 4) + 1)
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), (crc_fold(id_col, folds) == held).alias("held_out"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(blocks)).cast("int").alias("block"))
 
