@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import bytesums
-from strandline.llm.common import chunks, input_mb, materialize, table, texts_of
+from strandline.llm.common import chunks, freeing, input_mb, materialize, table, texts_of
 
 LAST = np.iinfo(np.int64).max
 HOT = 20_000
@@ -194,7 +194,8 @@ def frequency_classes(docs: DataFrame, slots: int) -> np.ndarray:
         return pa.table({"part": group.column("part")[:1], "classes": pa.array([kind.tobytes()], pa.binary())})
 
     counted = docs.select("text").mapInArrow(count, "part int, counts binary")
-    rows = counted.groupBy("part").applyInArrow(add, "part int, classes binary").collect()  # `slots` bytes together
+    with freeing(docs.sparkSession):
+        rows = counted.groupBy("part").applyInArrow(add, "part int, classes binary").collect()  # `slots` bytes together
     found = {r.part: np.frombuffer(r.classes, np.uint8) for r in rows}
     return np.concatenate([found[i] for i in range(parts)]) if found else np.zeros(slots, np.uint8)
 
@@ -210,7 +211,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     The sets of each pair decide. Lines whose pair fails though they had more are asked again for every candidate.
     """
     mb = input_mb(docs, "text")
-    classes = frequency_classes(docs, 1 << min(26, max(20, int(mb * 2048).bit_length())))
+    classes = frequency_classes(docs, 1 << min(26, max(20, int(mb * 8192).bit_length())))
     buckets = max(64, int(mb / 8) + 1)
 
     def post(only: bool, asked: np.ndarray | None = None):
@@ -325,8 +326,8 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs with hit: whether their sets are as similar as the threshold asks."""
         ends = pairs.select("dk", "line").union(pairs.select("other_dk", "other_line")).distinct()
-        ends = materialize(ends.groupBy("dk").agg(F.collect_list("line").alias("lines")), "ends")  # a text's own lines
-        texts = docs.select("dk", "text").join(ends, "dk")
+        ends = ends.groupBy("dk").agg(F.collect_list("line").alias("lines"))  # a text's own lines
+        texts = docs.select("dk", "text").join(ends.hint("shuffle_hash"), "dk")
         found = materialize(texts.mapInArrow(sets, "dk long, line int, words array<long>"), "sets")
         other = found.select(F.col("dk").alias("other_dk"), F.col("line").alias("other_line"), F.col("words").alias("other_words"))
         both = materialize(pairs.join(found, ["dk", "line"]), "pairs").join(other, ["other_dk", "other_line"])
