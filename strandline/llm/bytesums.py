@@ -50,8 +50,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def prefix(data: np.ndarray, seed: int, base: int = int(BASE)) -> np.ndarray:
     """Running sums whose differences are hashes of substrings, see span_hash()."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(letters(seed)[data] * powers(len(data), base)[0], out=out[1:])
+    out = np.empty(len(data) + 1, np.uint64)
+    out[0], sums = 0, out[1:]
+    np.take(letters(seed), data, out=sums, mode="clip")  # in place: each array of this size costs as much as its sums
+    np.multiply(sums, powers(len(data), base)[0], out=sums)
+    np.cumsum(sums, out=sums)
     return out
 
 

@@ -108,6 +108,17 @@ def _by_key_and_size(key: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.lexsort((n, key))
 
 
+def _partnered(key: np.ndarray) -> np.ndarray:
+    """Places of the keys that occur again, and of few others: those that share a slot with another key."""
+    number, slots = np.arange(len(key), dtype=np.int64), 1 << max(10, len(key).bit_length() + 2)
+    slot = (key & np.uint64(slots - 1)).astype(np.int64)
+    last = np.zeros(slots, np.int64)
+    last[slot] = number
+    several = np.zeros(slots, bool)
+    several[slot[last[slot] != number]] = True
+    return np.flatnonzero(several[slot])
+
+
 def candidates(x: dict[str, np.ndarray], threshold: float, every: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """Places (later line, earlier line), distance, equal, more: pairs of postings of one key that pass all filters.
 
@@ -118,8 +129,11 @@ def candidates(x: dict[str, np.ndarray], threshold: float, every: bool) -> Itera
     """
     order = _by_key_and_size(x["key"], x["n"])
     key, n, pos = x["key"][order], x["n"][order].astype(np.int64), x["pos"][order].astype(np.int64)
+    # Two sets need the sum of their parts as overlap, see overlap(); rest is what a word and those behind it can give.
+    part, rest = threshold / (1 + threshold) * n - 5e-10, (n - pos).astype(np.float64)
     # The shorter of a pair: only postings of its shorter prefix, in the same order.
     short = np.flatnonzero(pos <= n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9))
+    short_part, short_rest = part[short], rest[short]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     rank = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
     span = np.int64(1 << 32)
@@ -134,12 +148,12 @@ def candidates(x: dict[str, np.ndarray], threshold: float, every: bool) -> Itera
         to = max(at + 1, int(np.searchsorted(total, total[at] + SLAB, side="right")) - 1)
         for skip in range(0, max(1, int((high - low)[at:to].max())), SLAB):  # more than one step for a huge key only
             count = np.clip((high - low)[at:to] - skip, 0, SLAB)
-            j = np.repeat(np.arange(at, to), count)
-            i = short[np.arange(len(j)) - np.repeat(np.cumsum(count) - count, count) + low[j] + skip]
-            need = overlap(n[i], n[j], threshold)
-            ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
-            i, j, need = i[ok], j[ok], need[ok]
-            most = n[i] + n[j] - 2 * need
+            j = np.repeat(np.arange(to - at), count)
+            i = np.arange(len(j)) + (low[at:to] + skip - (np.cumsum(count) - count))[j]
+            need = short_part[i] + part[at:to][j]
+            ok = np.flatnonzero((short_rest[i] >= need) & (rest[at:to][j] >= need))
+            i, j = short[i[ok]], j[ok] + at
+            most = n[i] + n[j] - 2 * np.ceil(need[ok])
             i, j = order[i], order[j]
             distance = sum(np.bitwise_count(x[c][i] ^ x[c][j]).astype(np.int32) for c in ("sketch", "sketch2"))
             ok = (distance <= most) & (i != j)
@@ -272,21 +286,21 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                 out[c].append(v[of_text].astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c == "bucket" else pa.binary()) for c, v in out.items()], list(out))
 
-    def unpacked(table_: pa.Table) -> dict[str, np.ndarray]:
-        """Postings of some rows, each with its line's and its text's values."""
-        parts: dict[str, list[np.ndarray]] = {}
+    def unpacked(table_: pa.Table, partnered: bool = False) -> dict[str, np.ndarray]:
+        """Postings of some rows, each with its line's and its text's values; with partnered, few whose key is alone."""
+        parts: dict[str, list[np.ndarray]] = {c: [] for c in POSTED | OF_LINE | OF_TEXT}
+        lines = texts = 0
         for row in table_.to_pylist():
-            posted = {c: np.frombuffer(row[c], k) for c, k in POSTED.items()}
-            line = {c: np.frombuffer(row[c], k) for c, k in OF_LINE.items()}
-            text = line.pop("text")
-            for c, k in OF_TEXT.items():
-                line[c] = np.frombuffer(row[c], k)[text]
-            at = posted.pop("at")
-            for c, v in posted.items():
-                parts.setdefault(c, []).append(v)
-            for c, v in line.items():
-                parts.setdefault(c, []).append(v[at])
-        return {c: np.concatenate(v) for c, v in parts.items()}
+            now = {c: np.frombuffer(row[c], k) for c, k in (POSTED | OF_LINE | OF_TEXT).items()}
+            now |= {"at": now["at"] + np.int64(lines), "text": now["text"] + np.int64(texts)}
+            lines, texts = lines + len(now["n"]), texts + len(now["doc"])
+            for c, v in now.items():
+                parts[c].append(v)
+        x = {c: np.concatenate(v) for c, v in parts.items()}
+        own = _partnered(x["key"]) if partnered else slice(None)
+        at = x["at"][own]
+        text = x["text"][at]
+        return {c: x[c][own] for c in ("key", "pos")} | {c: x[c][at] for c in OF_LINE if c != "text"} | {c: x[c][text] for c in OF_TEXT}
 
     def pair_table(x: dict[str, np.ndarray], late: np.ndarray, early: np.ndarray, distance: np.ndarray, equal: np.ndarray, more: np.ndarray) -> pa.Table:
         columns = (x["dk"][late], x["line"][late], x["dk"][early], x["line"][early], distance, equal, more)
@@ -295,7 +309,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     def best(group: pa.Table) -> pa.Table:
         """One candidate for each later line of a range of keys."""
-        x = unpacked(group)
+        x = unpacked(group, True)
         found = [np.concatenate(v) for v in zip(*candidates(x, threshold, False), strict=True)] or [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32)] + [np.zeros(0, bool)] * 2
         late, early, distance, equal, more = found
         # Postings of one line are one line.
