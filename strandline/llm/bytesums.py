@@ -7,10 +7,6 @@ from functools import cache
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-WHITE = np.zeros(256, bool)
-WHITE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 
 
 @cache
@@ -63,8 +59,14 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
     return mix((sums[ends] - sums[starts]) * powers(len(sums), base)[1][starts] + (ends - starts).astype(np.uint64))
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return data + ((data - np.uint8(65)) < 26).view(np.uint8) * np.uint8(32)
+
+
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes that aren't ASCII white space."""
-    inside = ~WHITE[data]
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    white = np.ones(len(data) + 2, bool)
+    np.logical_or((data - np.uint8(0x09)) < 5, data == 0x20, out=white[1:-1])
+    edges = np.flatnonzero(white[1:] != white[:-1])
     return edges[::2], edges[1::2]

@@ -50,7 +50,7 @@ class Lines:
 
     def __init__(self, texts: list[bytes], classes: np.ndarray | None = None) -> None:
         data, starts = bytesums.joined(texts)
-        data = bytesums.LOWER[data]
+        data = bytesums.lower(data)
         a, b = bytesums.words(data)
         hashes = bytesums.span_hash(bytesums.prefix(data, 8), a, b)
         ends = np.flatnonzero(data == 10)
@@ -89,9 +89,24 @@ class Lines:
         return low, high, bytesums.mix(np.add.reduceat(mixed, self.start[:-1]) + self.size.astype(np.uint64))
 
 
-def overlap(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
-    """Fewest common words of sets of n and m words with a Jaccard similarity of threshold."""
-    return np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9).astype(np.int64)
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Which values differ from the one before them."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
+
+
+def _number(new: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """How many `new` each row has before its own, since the last head."""
+    number = np.cumsum(new)
+    return number - number[head][np.cumsum(head) - 1]
+
+
+def _packed(x: np.ndarray, kind: str, head: np.ndarray) -> pa.Array:
+    """The values from each head to the next as bytes."""
+    x = np.ascontiguousarray(x.astype(kind))
+    ends = np.append(np.flatnonzero(head), len(x)) * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x)])
 
 
 def _later(doc: np.ndarray, line: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -129,7 +144,7 @@ def candidates(x: dict[str, np.ndarray], threshold: float, every: bool) -> Itera
     """
     order = _by_key_and_size(x["key"], x["n"])
     key, n, pos = x["key"][order], x["n"][order].astype(np.int64), x["pos"][order].astype(np.int64)
-    # Two sets need the sum of their parts as overlap, see overlap(); rest is what a word and those behind it can give.
+    # Two sets need the sum of their parts as overlap; rest is what a word and those behind it can give.
     part, rest = threshold / (1 + threshold) * n - 5e-10, (n - pos).astype(np.float64)
     # The shorter of a pair: only postings of its shorter prefix, in the same order.
     short = np.flatnonzero(pos <= n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9))
@@ -192,7 +207,7 @@ def frequency_classes(docs: DataFrame, slots: int) -> np.ndarray:
         total = np.zeros(slots, np.uint32)
         for batch in chunks(batches, "text", 1 << 20):
             data, _ = bytesums.joined(texts_of(batch, "text"))
-            data = bytesums.LOWER[data]
+            data = bytesums.lower(data)
             a, b = bytesums.words(data)
             slot = slot_of(bytesums.span_hash(bytesums.prefix(data, 8), a, b), slots)
             if len(slot) * 8 < slots:
@@ -264,27 +279,23 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         if asked is not None:
             own = _bits(asked, key)
             key, row, pos = key[own], row[own], pos[own]
-        line_of = {"n": n, "line": lines.number, "text": lines.text, "sketch": sketch, "sketch2": sketch2, "same": same}
-        by = (bytesums.mix(key) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+        by = ((bytesums.mix(key) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
         order = np.argsort(by, kind="stable")
-        edges = np.searchsorted(by[order], np.arange(buckets + 1))
-        parts = [(i, order[a:b]) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
-        out: dict[str, list] = {c.split(" ")[0]: [] for c in POSTINGS.split(", ")}
-        if not only and repeat.any():
-            parts.append((-1, None))
-        for i, own in parts:
-            rows = np.flatnonzero(repeat) if own is None else row[own]
-            of_line, at = np.unique(rows, return_inverse=True)
-            of_text, text = np.unique(lines.text[of_line], return_inverse=True)
-            out["bucket"].append(i)
-            posted = {"key": np.zeros(len(rows)) if own is None else key[own], "pos": np.zeros(len(rows)) if own is None else pos[own], "at": at}
-            for c, kind in POSTED.items():
-                out[c].append(posted[c].astype(kind).tobytes())
-            for c, kind in OF_LINE.items():
-                out[c].append((text if c == "text" else line_of[c][of_line]).astype(kind).tobytes())
-            for c, v in (("doc", doc), ("dk", dk)):
-                out[c].append(v[of_text].astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c == "bucket" else pa.binary()) for c, v in out.items()], list(out))
+        again = np.flatnonzero(repeat & (not only))
+        none = np.zeros(len(again), np.int64)
+        by, row, pos = np.concatenate([none - 1, by[order]]), np.concatenate([again, row[order]]), np.concatenate([none, pos[order]])
+        key = np.concatenate([none.astype(np.uint64), key[order]])
+        # By bucket, then line: a line's and a text's values stand once in each bucket.
+        head = _begins(by)
+        of_line = head | _begins(row)
+        line, line_head = row[of_line], head[of_line]
+        of_text = line_head | _begins(lines.text[line])
+        text, text_head = lines.text[line[of_text]], line_head[of_text]
+        line_of = {"n": n[line], "line": lines.number[line], "text": _number(of_text, line_head), "sketch": sketch[line], "sketch2": sketch2[line], "same": same[line]}
+        columns = [_packed({"key": key, "pos": pos, "at": _number(of_line, head)}[c], kind, head) for c, kind in POSTED.items()]
+        columns += [_packed(line_of[c], kind, line_head) for c, kind in OF_LINE.items()]
+        columns += [_packed({"doc": doc, "dk": dk}[c][text], kind, text_head) for c, kind in OF_TEXT.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(by[head], pa.int32()), *columns], ["bucket", *POSTED, *OF_LINE, *OF_TEXT])
 
     def unpacked(table_: pa.Table, partnered: bool = False) -> dict[str, np.ndarray]:
         """Postings of some rows, each with its line's and its text's values; with partnered, few whose key is alone."""

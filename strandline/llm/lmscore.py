@@ -22,7 +22,7 @@ WORDS, PAIRS = 0, 1
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all tokens, one end after each text's words, and the number of tokens of each text."""
     data, starts = bytesums.joined(texts)
-    data = bytesums.LOWER[data]
+    data = bytesums.lower(data)
     a, b = bytesums.words(data)
     # The line feed that joined() puts after each text is where its end token stands.
     stops = starts[1:] - 1
