@@ -73,13 +73,20 @@ def training_samples(docs: DataFrame, id_col: str, text_col: str, strings: int =
     SHA-256 digests written as hexadecimal, upper-case and base-64 text. Ordinary (0): words of 4 to 40 letters of the
     first `texts` texts by id hash, alone and joined as identifiers are. The sample only fits the two models.
     """
-    texts_of = docs.select(F.xxhash64(id_col).alias("order"), _clean(F.col(text_col)).alias("t"))
-    caught = texts_of.where(F.col("t").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).orderBy("order", F.xxhash64("t")).limit(strings)
+    texts_of = docs.select(F.xxhash64(id_col).alias("order"), _clean(F.col(text_col)).alias("t")).withColumn("key", F.xxhash64("t"))
+
+    def first(condition: Column, most: int) -> DataFrame:
+        """Texts of the first `most` rows: only keys are sorted, so no task gets the texts that all others put forward."""
+        keys = texts_of.where(condition).select("order", "key").orderBy("order", "key").limit(most).distinct()
+        return texts_of.join(F.broadcast(keys), ["order", "key"]).groupBy("order", "key").agg(F.first("t").alias("t"))  # `most` keys at most
+
+    held = F.col("t").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")
+    caught = first(held, strings)
     spans = caught.select("t", F.explode(F.slice(base_spans(F.col("t")), 1, 4)).alias("s"))
     caught = spans.select(F.regexp_replace(_cut(F.col("t"), F.col("s")), f"^{ASSIGN}$", "$2").alias("s"))
     digest = docs.sparkSession.range(2000).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("h"))
     made = digest.select(F.explode(F.array("h", F.upper("h"), F.base64(F.unhex("h")))).alias("s"))
-    plain = texts_of.where(~F.col("t").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).orderBy("order", F.xxhash64("t")).limit(texts)
+    plain = first(~held, texts)
     words = plain.select(F.slice(F.regexp_extract_all("t", F.lit("([A-Za-z]{4,40})"), 1), 1, 200).alias("w"))
     pairs = words.select(F.explode(F.arrays_zip("w", F.slice("w", 2, 200).alias("v"))).alias("z")).select("z.w", F.coalesce("z.v", F.lit("")).alias("v"))
     forms = F.array(F.col("w"), F.concat(F.lower("w"), F.initcap("v")), F.concat_ws("_", F.lower("w"), F.lower("v")), F.upper(F.concat_ws("_", "w", "v")), F.concat_ws("-", F.lower("w"), F.lower("v")))
