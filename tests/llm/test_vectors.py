@@ -59,6 +59,40 @@ def test_recall_of_displaced_vectors():
     assert visits[np.arange(3000), (y @ c.T).argmax(1)].mean() > 0.99
 
 
+def test_links_along_the_line_between_centres(spark):
+    """Few effective dimensions: vectors on a great circle of 64 dimensions, whose partners lie in neighbouring cells and blocks."""
+    rng = np.random.default_rng(4)
+    at = rng.uniform(0, 2 * np.pi, 600)
+    plane = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    x = np.stack([np.cos(at), np.sin(at)], axis=1) @ plane + rng.normal(size=(600, 64)) * 1e-3
+    near = vectors.unit(x) @ vectors.unit(x).T >= 0.95
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r for r in vectors.near_duplicates(df, per_cell=20, limit=64).collect()}
+    assert [got[i].n_links for i in range(600)] == (near.sum(1) - 1).tolist()
+    assert {r.component_id for r in got.values()} == {0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_forest(seed):
+    rng = np.random.default_rng(seed)
+    u, v = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
+    chain = np.arange(1000, 1400)
+
+    def parts(links):
+        low = {}
+        for a, b in links:
+            x, y = low.setdefault(a, {a}), low.setdefault(b, {b})
+            if x is not y:
+                x |= y
+                for n in y:
+                    low[n] = x
+        return {frozenset(p) for p in low.values() if len(p) > 1}
+
+    u, v = np.concatenate([u, chain[::-1]]), np.concatenate([v, chain[::-1] + 1])
+    a, b = vectors.forest(u, v)
+    assert parts(zip(a.tolist(), b.tolist())) == parts(zip(u.tolist(), v.tolist())) and len(a) < len(set(u) | set(v))
+
+
 @pytest.mark.parametrize("first_rows", [1, 200])
 def test_top_k(spark, first_rows):
     data = [(r[0], r[1]) for r in rows()]
