@@ -17,21 +17,25 @@ from strandline.llm.components import components
 BITS = 64
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """Signed 64-bit SimHash of the text's word shingles; 0 without words."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """64-bit hashes of the text's word shingles; a shorter text is one shingle, none without words."""
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if n <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], "<u8")
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=False)), "<u8", n - width + 1)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], "<u8")
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=False)), "<u8", n - width + 1)
+
+
+def fingerprint(text: bytes, width: int) -> int:
+    """Signed 64-bit SimHash of the text's word shingles; 0 without words."""
+    hashes = shingle_hashes(text, width)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -196,19 +200,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """One row of each group of near-duplicates, all columns as they are: that of the smallest id (null ids come last).
-
-    Of rows of the same id the one of the smallest text hash stays, of rows that repeat id and text any one.
-    """
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """(row, text) of each row, row being (order, key) with null ids last, and the key's expression."""
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    slim = docs.select(F.struct(order.alias("order"), key.alias("key")).alias("row"), F.col(text_col).alias("text"))
-    fps = materialize(fingerprints(slim, "row", "text", width).select("fp", F.col("doc_id").alias("row")), "fingerprints")
-    nodes = labelled(fps, F.col("row"), radius)
-    stays = materialize(nodes.groupBy("component").agg(F.min("first").alias("row")).select(F.col("row.key").alias("_key")).distinct(), "stays")
+    return docs.select(F.struct(order.alias("order"), key.alias("key")).alias("row"), F.col(text_col).alias("text")), key
+
+
+def only(docs: DataFrame, key: Column, rows: DataFrame, stays: DataFrame) -> DataFrame:
+    """docs whose key is among stays (_key), one row of those that repeat a key; rows has all of `row`."""
     kept = docs.withColumn("_key", key).join(stays, "_key", "left_semi")
-    twice = fps.groupBy("row").count().where("count > 1").select(F.col("row.key").alias("_key")).join(stays, "_key", "left_semi")
+    twice = rows.groupBy("row").count().where("count > 1").select(F.col("row.key").alias("_key")).join(stays, "_key", "left_semi")
     twice = materialize(twice, "twice")
     if twice.isEmpty():
         return kept.drop("_key")
@@ -216,5 +218,17 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return single.unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"])).drop("_key")
 
 
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each group of near-duplicates, all columns as they are: that of the smallest id (null ids come last).
+
+    Of rows of the same id the one of the smallest text hash stays, of rows that repeat id and text any one.
+    """
+    slim, key = rows_of(docs, id_col, text_col)
+    fps = materialize(fingerprints(slim, "row", "text", width).select("fp", F.col("doc_id").alias("row")), "fingerprints")
+    nodes = labelled(fps, F.col("row"), radius)
+    stays = materialize(nodes.groupBy("component").agg(F.min("first").alias("row")).select(F.col("row.key").alias("_key")).distinct(), "stays")
+    return only(docs, key, fps, stays)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandline.llm import lines, lmscore, packing, quality, secrets, sentencepieces, simhash, suffixes
+from strandline.llm import lines, lmscore, packing, quality, secrets, sentencepieces, shingles, simhash, suffixes
 from strandline.llm.common import table
 
 from tests.llm.conftest import SF
@@ -267,6 +268,50 @@ def test_simhash(spark, docs, plain, which):
     assert kept.count() == parts and {r.doc_id for r in kept.collect()} >= {c for _, _, c in simhash_expected(data) if c is not None}
 
 
+def jaccard_first(data, width=5, threshold=0.8):
+    sets = []
+    for _, t in data:
+        w = words(t)
+        sets.append({b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    part = list(range(len(data)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if part[i] != part[j] and (a == b or len(a & b) >= threshold * len(a | b) - 1e-9):
+                old, new = part[i], part[j]
+                part = [new if p == old else p for p in part]
+    low = {}
+    for (i, _), p in zip(data, part, strict=True):
+        low[p] = min(low.get(p, LAST), LAST if i is None else i)
+    return sorted(low.values())
+
+
+def test_first_by_jaccard(spark):
+    """Copies on both sides of Jaccard 0.8, a chain of them, and shared passages that make no copies."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(60)]
+    texts = [None, "", "one two", "One two"]
+    for k in range(30):
+        base = [word() for _ in range(rng.randrange(30, 200))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), max(1, int(len(copy) * rng.uniform(0.005, 0.04)))):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+        texts.append(" ".join(passage + [word() for _ in range(rng.randrange(3, 40))]))
+    chain = [word() for _ in range(200)]
+    for k in range(12):
+        chain = chain[8:] + [word() for _ in range(8)]
+        texts.append(" ".join(chain))
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    want = jaccard_first(data)
+    assert sorted(r.doc_id for r in shingles.first_of_each(df).collect()) == want
+    assert sorted(r.doc_id for r in simhash.first_of_each(df).collect()) != want
+
+
 def test_hot_shards_are_sliced(spark):
     """Fingerprints within few bits of each other, many more than a slice holds: one group, found by any slicing."""
     import random
