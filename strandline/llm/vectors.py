@@ -209,12 +209,12 @@ def _scored(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k:
     """The k best (query, vector, score) of each query in a block, ties to the smaller id; ids that are equal are one row."""
     scores = np.clip(q @ x.T, -(2.0**62), 2.0**62)  # exact while integers stay below 2**53
     for i in range(len(q)):
-        s = scores[i]
+        s = np.where(x_id == q_id[i], -np.inf, scores[i])
         pick = np.arange(len(s))
         if len(s) > 2 * k:
-            bar = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+            bar = np.partition(s, len(s) - k)[len(s) - k]
             pick = np.flatnonzero(s >= bar)
-        pick = pick[x_id[pick] != q_id[i]]
+        pick = pick[s[pick] > -np.inf]
         pick = pick[np.lexsort((x_id[pick], -s[pick]))][:k]
         for j in pick.tolist():
             yield int(q_id[i]), int(x_id[j]), int(s[j])

@@ -108,6 +108,13 @@ def test_top_k(spark, first_rows):
     assert sorted(tuple(r) for r in got.collect() if r.query_id not in twice) == want
 
 
+def test_repeated_query_row(spark):
+    """All copies of the query row are in one block with its neighbours."""
+    data = [(0, [9.0, 1.0])] * 12 + [(i, [1.0 + i / 64, 1.0]) for i in range(1, 31)]
+    got = vectors.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, pivots=1, rings=1)
+    assert sorted((r.rank, r.vec_id) for r in got.collect()) == [(n + 1, 30 - n) for n in range(10)]
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [0.5]), (2, [0.5])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in vectors.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 1024 * 512), (0, 2, 2, 1024 * 512)]
