@@ -111,21 +111,60 @@ def log_ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out
 
 
+def _without(text: Column, base: Column) -> Column:
+    """text with blanks for what base spans (by start) cover."""
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], s["at"]), F.lit(0)))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap, blank).alias("out"))
+
+    cut = F.aggregate(base, first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, cut).otherwise(text)
+
+
 def markov_spans(text: Column, base: Column, ratios: list[float], shortest: int = 20, threshold: float = 0.35, different: int = 8) -> Column:
-    """Spans of candidate strings that no base span touches, that hold `different` characters (rules of dashes don't) and
-    whose mean log-likelihood ratio reaches threshold."""
+    """Spans of candidate strings, base spans cut out, that hold `different` characters (rules of dashes don't) and whose
+    mean log-likelihood ratio reaches threshold.
+
+    Where a whole run of candidate characters doesn't, as a key behind a long name, its best stretches do: of the parts
+    between `=`, `/`, `_` and `-`, those neighbours whose sums of what is beyond the threshold are the highest.
+    """
     known = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     n = len(ALPHABET)
-    spans = matches(text, f"{CANDIDATE}{{{shortest},}}", 3)
-    free = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    spans = matches(_without(text, base), f"{CANDIDATE}{{{shortest},}}", 3)
 
-    def score(span: Column) -> Column:
-        codes = F.transform(F.split(_cut(text, span), ""), _position)
+    def beyond(string: Column) -> Column:
+        """Sum of ratios less the threshold for each."""
+        codes = F.transform(F.split(string, ""), _position)
         first = F.struct(F.lit(-1).alias("a"), F.lit(0.0).alias("sum"))
-        step = lambda s, c: F.struct(c.alias("a"), (s["sum"] + F.when(s["a"] < 0, 0.0).otherwise(F.get(known, s["a"] * n + c))).alias("sum"))
-        return F.aggregate(codes, first, step)["sum"] / F.greatest(F.size(codes) - 1, F.lit(1))
-
-    return F.filter(free, lambda s: (F.size(F.array_distinct(F.split(_cut(text, s), ""))) >= different) & (score(s) >= threshold))
+        step = lambda s, c: F.struct(c.alias("a"), (s["sum"] + F.when(s["a"] < 0, 0.0).otherwise(F.get(known, s["a"] * n + c) - threshold)).alias("sum"))
+        return F.aggregate(codes, first, step)["sum"]
+
+    def varied(span: Column) -> Column:
+        return F.size(F.array_distinct(F.split(_cut(text, span), ""))) >= different
+
+    def stretches(span: Column) -> Column:
+        """Each ends where its sum is highest; the next starts where the sum has fallen to zero."""
+        parts = F.split(_cut(text, span), "(?<=[=/_-])")
+        scored = F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), F.length(own := F.regexp_replace(p, "[=/_-]$", "")).alias("m"), F.when(F.length(own) > 1, beyond(own)).otherwise(0.0).alias("score")))
+        none = F.array().cast(f"array<{Span}>")
+        first = F.struct(span["start"].alias("at"), span["start"].alias("start"), span["start"].alias("end"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("top"), none.alias("out"))
+        closed = lambda s: F.when(s["end"] - s["start"] >= shortest, F.array_append(s["out"], F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))).otherwise(s["out"])
+
+        def step(s: Column, z: Column) -> Column:
+            fresh = s["sum"] <= 0
+            start, total = F.when(fresh, s["at"]).otherwise(s["start"]), F.when(fresh, z["score"]).otherwise(s["sum"] + z["score"])
+            top = F.when(fresh, 0.0).otherwise(s["top"])
+            end = F.when(total > top, s["at"] + z["m"]).when(fresh, s["at"]).otherwise(s["end"])
+            out = F.when(fresh, closed(s)).otherwise(s["out"])
+            return F.struct((s["at"] + z["n"]).cast("int").alias("at"), start.cast("int").alias("start"), end.cast("int").alias("end"), total.alias("sum"), F.greatest(total, top).alias("top"), out.alias("out"))
+
+        return F.aggregate(scored, first, step, closed)
+
+    best = F.transform(F.filter(spans, varied), lambda s: F.when(beyond(_cut(text, s)) >= 0, F.array(s)).otherwise(stretches(s)))
+    return F.filter(F.flatten(best), varied)
 
 
 def _position(c: Column) -> Column:
