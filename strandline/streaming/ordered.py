@@ -62,15 +62,15 @@ class KeyValue(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
         out = []
-        for batch in rows:
-            for seq, op, name, value in batch.sort_values("seq")[["seq", "op", "key", "value"]].itertuples(index=False):
-                if op == "set":
-                    self.values.updateValue((name,), (str(value),))
-                elif op == "get":
-                    found = self.values.getValue((name,)) if self.values.containsKey((name,)) else None
-                    out.append((key[0], int(seq), name, found[0] if found else ""))
-                elif op == "end":
-                    self.values.clear()
+        whole = pd.concat(list(rows)).sort_values("seq")  # a stream's rows come in several chunks, in any order
+        for seq, op, name, value in whole[["seq", "op", "key", "value"]].itertuples(index=False):
+            if op == "set":
+                self.values.updateValue((name,), (str(value),))
+            elif op == "get":
+                found = self.values.getValue((name,)) if self.values.containsKey((name,)) else None
+                out.append((key[0], int(seq), name, found[0] if found else ""))
+            elif op == "end":
+                self.values.clear()
         yield pd.DataFrame(out, columns=["pipeline_id", "seq", "key", "value"])
 
     def close(self) -> None:

@@ -278,6 +278,19 @@ def test_windows_with_watermark(spark, tmp_path):
     assert ordered.windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
 
 
+def test_key_values_of_several_chunks(spark):
+    """One stream, shuffled, in many Arrow chunks."""
+    data = [(1, 2 * i + k, "set" if k == 0 else "get", f"k{i % 3}", str(i)) for i in range(200) for k in range(2)]
+    random.Random(2).shuffle(data)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        got = ordered.key_values(spark.createDataFrame(data, "pipeline_id long, seq long, op string, key string, value string")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.seq: r.value for r in got} == {2 * i + 1: str(i) for i in range(200)}
+
+
 def test_key_values(spark):
     rows = [(1, 1, "get", "a", ""), (1, 2, "set", "a", "x"), (1, 3, "get", "a", ""), (2, 1, "get", "a", ""), (1, 4, "end", "", ""), (1, 5, "get", "a", "")]
     df = spark.createDataFrame(rows, "pipeline_id long, seq long, op string, key string, value string")
