@@ -35,22 +35,24 @@ def crc(i, m):
     return zlib.crc32(("" if i is None else str(i)).encode()) % m
 
 
-def lm_expected(data, mu=1000.0):
+def lm_expected(data, mu=(256.0, 32.0)):
     tokens = [(i, [*words(t), None]) for i, t in data]
-    count, pair = Counter(), Counter()
+    count, pair, triple = Counter(), Counter(), Counter()
     for i, x in tokens:
         if crc(i, 10):
             count.update(x)
             pair.update(zip([None, *x], x, strict=False))
+            triple.update(zip([None, *x], x, x[1:], strict=False))
     n, v = sum(count.values()), len(count)
-    p = lambda w: (count[w] + 0.1) / (n + 0.1 * (v + 1))
+    p1 = lambda w: (count[w] + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda v, w: (pair[v, w] + mu[0] * p1(w)) / (count[v] + mu[0])
     out = []
     for i, x in tokens:
-        base, score, state = 0.0, 0.0, None
-        for w in x:
-            base += math.log10(p(w))
-            score += math.log10((pair[state, w] + mu * p(w)) / (count[state] + mu))
-            state = w
+        base, score, u, state = 0.0, 0.0, None, None
+        for at, w in enumerate(x):
+            base += math.log10(p1(w))
+            score += math.log10((triple[u, state, w] + mu[1] * p2(state, w)) / (pair[u, state] + mu[1]) if at else p2(state, w))
+            u, state = state, w
         out.append((i, crc(i, 10) == 0, len(x), sum(count[w] > 0 for w in x), n, round(base, 6), round(score, 6)))
     return sorted(out, key=str)
 
@@ -62,13 +64,39 @@ def test_lm(spark, docs, plain, which):
     assert got == lm_expected(data)
 
 
+def machine(texts, held):
+    """The automaton of some texts, their words' places, and each text's first token and number of tokens."""
+    keys, counts = lmscore.tokens(texts)
+    first = np.cumsum(counts) - counts
+    own = lmscore.ngrams(keys, first)
+    found = [lmscore.distinct(k, np.repeat(~held, counts)) for k in own]
+    places = [lmscore.Index(d).find(k) for (d, _), k in zip(found, own, strict=True)]
+    model = lmscore.Model(int(found[0][1].sum()), int((found[0][1] > 0).sum()), (5.0, 2.0))
+    return lmscore.automaton(model, keys, first, [c for _, c in found], places), places[0], first, counts
+
+
 def test_automaton_sums_to_one():
-    """The arcs of a state and its failure arc share out a probability of 1."""
-    counts = np.array([5, 3, 2, 0])
-    model = lmscore.Automaton(10, 3, 50.0)
-    arcs = np.array([2, 0, 1, 0])
-    total = 10 ** model.traverse(counts, np.full(4, 3), arcs)
-    assert abs(total.sum() - 1) < 1e-12
+    """From every state that training has seen, all words and one that nobody has seen share out a probability of 1."""
+    texts = [b"a b a b c", b"b c a", b"", b"unseen words only", b"a a a b"]
+    auto, *_ = machine(texts, np.array([False, False, False, True, False]))
+    seen = np.flatnonzero(auto.root_to)
+    unseen = np.flatnonzero(auto.root_to == 0)
+    reached = np.unique(np.concatenate([auto.to, auto.root_to[seen], [0]]))
+    assert (reached > auto.words).sum() > 5 and len(unseen) == 3
+    for state in reached:
+        weight, to = auto.step(np.full(auto.words, state), np.arange(auto.words))
+        assert abs((10.0 ** weight[seen]).sum() + 10.0 ** weight[unseen[0]] - 1) < 1e-9
+        assert set(to.tolist()) <= set(reached.tolist())
+
+
+def test_lanes_carry_the_state(monkeypatch):
+    """A long text read in lanes scores as one read from its start to its end."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(n)).encode() for n in (1, 5, 900, 3, 257)]
+    auto, word, first, counts = machine(texts, np.array([False, True, True, False, False]))
+    cut = auto.traverse(word, first, counts)
+    monkeypatch.setattr(lmscore, "LANE", 10_000)
+    assert np.allclose(auto.traverse(word, first, counts), cut, rtol=0, atol=1e-12)
 
 
 def lines_expected(data, threshold=0.8):
