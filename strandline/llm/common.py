@@ -55,21 +55,38 @@ def freeing(spark: SparkSession) -> Iterator[None]:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and lost executors lose nothing."""
+    """Write df to the shared folder and read it back: cuts the lineage, and lost executors lose nothing.
+
+    What discard() doesn't delete before goes when the application ends: a query's last steps are read after it returns.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     with freeing(spark):
         df.write.parquet(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out.strandline_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.strandline_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.strandline_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def input_mb(df: DataFrame, text: str) -> float:

@@ -25,8 +25,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
         new = materialize(small.distinct(), "links")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
-        for old in (edges, low, large, low2):
-            discard(old)
+        discard(edges, low, large, low2)
         edges = new
         if now == before:
             break

@@ -130,6 +130,30 @@ def test_lines(spark, docs, plain, which):
     assert sorted(((r.doc_id, r.text or "") for r in rest.collect()), key=str) == sorted(((i, of(i, t)[2]) for i, t in data), key=str)
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.7, 0.9, 1.0])
+def test_lines_at_other_thresholds(spark, threshold):
+    """Short lines too: three words and four have a similarity of 0.75."""
+    rng = random.Random(8)
+    data = [(0, "a b c d\na b c\nx y\nx y z"), (1, "a b c\na b c d e")]
+    for i in range(2, 160):
+        data.append((i, "\n".join(" ".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 5)))))
+    expected = lines_expected(data, threshold)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.n_removed for r in lines.dedup(df, threshold=threshold).collect()} == {i: expected[i, t][1] for i, t in data}
+
+
+def test_a_line_of_many_chunks(spark, monkeypatch):
+    """One line, and near copies of it, in 20,000 chunks: equal sets are settled before they meet."""
+    import time
+
+    monkeypatch.setattr(lines, "chunks", lambda batches, text, most: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
+    n = 20_000
+    df = spark.range(n).selectExpr("id AS doc_id", f"concat('this line of the page stands in every text of all\nand this second one differs only in its number ', id % {n // 4}) AS text").repartition(4)
+    began = time.time()
+    got = {r.doc_id: r.n_removed for r in lines.dedup(df).collect()}
+    assert got[0] == 0 and sum(got.values()) == 2 * n - 2 and time.time() - began < 150
+
+
 def test_open_lines_are_asked_again(spark):
     """Lines whose nearest candidate fails still find another."""
     import random
