@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from strandline.llm import bytesums
 from strandline.llm.common import crc_fold, input_mb, materialize, table, texts_of
 
-#: Keys of n-grams are even: the lowest bit says, where they are sorted, whether a token learns.
-EVEN = ~np.uint64(1)
-END = np.uint64(2)  # the end of a text, and the state in which the next text starts
+#: Keys of n-grams are 56 bits above an empty byte, whose lowest bit says, where keys are sorted, whether a token learns.
+EMPTY = np.uint64(8)
+KEY = ~np.uint64(255)
+END = np.uint64(256)  # the end of a text, and the state in which the next text starts
 ADD = 0.1
 WORDS, PAIRS, TRIPLES = 0, 1, 2
 #: Tokens that a lane of the traversal reads, and those before them that bring it into its state.
@@ -24,6 +25,13 @@ LANE, WARM = 128, 2
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all tokens, one end after each text's words, and the number of tokens of each text."""
+    edges = np.cumsum([0, *map(len, texts)]) >> 21  # a few MB at a time: hashing takes many times the bytes
+    cuts = [0, *(np.flatnonzero(np.diff(edges)) + 1).tolist(), len(texts)]
+    parts = [_tokens(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data, starts = bytesums.joined(texts)
     data = bytesums.lower(data)
     a, b = bytesums.words(data)
@@ -31,7 +39,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     stops = starts[1:] - 1
     keys = np.full(len(a) + len(stops), END, np.uint64)
     place = np.arange(len(a)) + np.searchsorted(stops, a, side="left")
-    keys[place] = bytesums.span_hash(bytesums.prefix(data, 6), a, b) & EVEN
+    keys[place] = bytesums.span_hash(bytesums.prefix(data, 6), a, b) & KEY
     counts = np.diff(np.searchsorted(a, starts)) + 1
     return keys, counts
 
@@ -44,7 +52,7 @@ def ngrams(keys: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         before = np.concatenate([keys[:1], out[-1][:-1]])
         if outside is not None:
             before[first] = outside
-        out.append(bytesums.mix(before * np.uint64(0xD6E8FEB86659FD93) + keys) & EVEN)
+        out.append(bytesums.mix(before * np.uint64(0xD6E8FEB86659FD93) + keys) & KEY)
     out[TRIPLES][first] = 0
     return out
 
@@ -52,8 +60,8 @@ def ngrams(keys: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 def distinct(keys: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys (0 left out), and how many learning tokens have each."""
     both = np.sort(keys | learns.astype(np.uint64))
-    both = both[np.searchsorted(both, np.uint64(2)) :]
-    own = both & EVEN
+    both = both[np.searchsorted(both, END) :]
+    own = both & KEY
     head = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]]))
     sums = np.concatenate([[0], np.cumsum((both & np.uint64(1)).astype(np.int64))])
     return own[head], np.diff(sums[np.append(head, len(own))])
@@ -194,11 +202,11 @@ def _unpack(x: bytes) -> np.ndarray:
 
 
 def _pack_keys(x: np.ndarray) -> bytes:
-    return _pack(np.diff(x, prepend=np.uint64(0)))
+    return _pack(np.diff(x >> EMPTY, prepend=np.uint64(0)))
 
 
 def _unpack_keys(x: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(x), dtype=np.uint64)
+    return np.cumsum(_unpack(x), dtype=np.uint64) << EMPTY
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, mu: tuple[float, float] = (256.0, 32.0), least_mb: float = 2.0, most_mb: float = 16.0) -> DataFrame:
@@ -207,7 +215,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     Texts whose crc32(id as text) mod folds is `held` are scored only, the others also train. Texts are dealt into blocks
     by a hash. Each block sends its distinct words, pairs and triples, as sorted key ranges, to the task that counts that
     range over the corpus, and gets their counts back: the part of the automaton that its texts reach, whatever the size
-    of the whole. Nothing is broadcast or pruned; a frequent n-gram is one key a block. N-grams are known by 63-bit hashes.
+    of the whole. Nothing is broadcast or pruned; a frequent n-gram is one key a block. N-grams are known by 56-bit hashes. Triples go in a round of
+    their own, so that the disk holds the questions of one round only.
 
     Blocks and key ranges grow with the square root of the input from least_mb to most_mb (which bounds a task's memory),
     so the packed rows between them, blocks x ranges, are in proportion to the input up to most_mb.
@@ -221,22 +230,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), (crc_fold(id_col, folds) == held).alias("held_out"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(blocks)).cast("int").alias("block"))
 
-    def read(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
-        """Keys and numbers of tokens, n-grams, and the distinct n-grams of each order with their counts in the block."""
+    def read(batch: pa.Table, kinds: tuple[int, ...] = (WORDS, PAIRS, TRIPLES)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """Keys and numbers of tokens, n-grams, and the distinct n-grams of each kind with their counts in the block."""
         keys, counts = tokens(texts_of(batch, "text"))
         own = ngrams(keys, np.cumsum(counts) - counts)
         learns = np.repeat(~batch.column("held_out").to_numpy(), counts)
-        return keys, counts, own, [distinct(k, learns) for k in own]
+        return keys, counts, own, {k: distinct(own[k], learns) for k in kinds}
 
-    def ask(batch: pa.Table) -> pa.Table:
+    def asked(batch: pa.Table, kinds: tuple[int, ...]) -> pa.Table:
         """Sorted distinct keys of one block, by bucket, with their training counts."""
         block, rows = batch.column("block")[0].as_py(), []
-        for kind, (keys, trained) in enumerate(read(batch)[-1]):
+        for kind, (keys, trained) in read(batch, kinds)[-1].items():
             edges = np.searchsorted(bucket(keys, buckets), np.arange(buckets + 1))
             rows += [(kind, i, block, _pack_keys(keys[a:b]), _pack(trained[a:b])) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
         names = ("kind", "bucket", "block", "keys", "counts")
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, zip(*rows, strict=True), kinds, strict=True)})
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types, strict=True))})
 
     def answer(batch: pa.Table) -> pa.Table:
         """Corpus counts of every asked key of a range, in the order of the question."""
@@ -251,13 +260,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         return pa.table({"block": batch.column("block"), "kind": batch.column("kind"), "bucket": batch.column("bucket"), "totals": pa.array([_pack(total[p]) for p in places], pa.binary()),
                          "types": pa.array([int((total > 0).sum()), *none], pa.int64()), "tokens": pa.array([int(total.sum()), *none], pa.int64())})
 
-    asked = slim.groupBy("block").applyInArrow(ask, "kind int, bucket int, block int, keys binary, counts binary")
-    answers = asked.groupBy("kind", "bucket").applyInArrow(answer, "block int, kind int, bucket int, totals binary, types long, tokens long")
-    answers = materialize(answers, "counts")
+    def answered(kinds: tuple[int, ...]) -> DataFrame:
+        questions = slim.groupBy("block").applyInArrow(lambda batch: asked(batch, kinds), "kind int, bucket int, block int, keys binary, counts binary")
+        return materialize(questions.groupBy("kind", "bucket").applyInArrow(answer, "block int, kind int, bucket int, totals binary, types long, tokens long"), "counts")
+
+    answers = answered((WORDS, PAIRS)).union(answered((TRIPLES,)))
     whole = answers.where(F.col("kind") == WORDS).agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     model = Model(whole["n"] or 0, whole["v"] or 0, mu)
 
     def run(batch: pa.Table, known: pa.Table) -> pa.Table:
+        if not batch.num_rows:
+            raise RuntimeError("the texts of a block have changed since its n-grams were counted")
         keys, counts, own, held_here = read(batch)
         known = known.take(pa.array(np.lexsort((known.column("bucket").to_numpy(), known.column("kind").to_numpy()))))
         totals, places = [], []
