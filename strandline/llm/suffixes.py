@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import bytesums
-from strandline.llm.common import chunks, materialize, table, texts_of
+from strandline.llm.common import chunks, discard, materialize, table, texts_of
 
 DIGIT = 48
 PIECE = 1 << 20
@@ -39,13 +39,15 @@ def first_digits(pieces: Pieces, depth: int, digit: int) -> tuple[np.ndarray, ..
     """Runs of windows with their first digit: position of the first window, number of windows, digit, hash of the run.
 
     A window's first digit is the digit-byte string in it of the least hash (the leftmost of several): equal windows have
-    equal digits at equal places. Neighbouring windows mostly share one, and such a run is sorted as one suffix.
+    equal digits at equal places. Neighbouring windows mostly share one, and such a run is sorted as one suffix, the one
+    that starts with the digit. Hashes are compared by their upper 32 bits whatever the size of the chunk, so that those
+    that tie in one chunk tie in all.
     """
     data, n = pieces.data, len(pieces.data)
     m, width = n - digit + 1, depth - digit + 1
     sums = bytesums.prefix(data, 1)
     grams = bytesums.mix((sums[digit:] - sums[:-digit]) * bytesums.powers(n + 1)[1][:m])
-    mask = np.uint64((1 << n.bit_length()) - 1)
+    mask = np.uint64((1 << 32) - 1)  # places: an Arrow chunk is smaller
     low = (grams & ~mask) | np.arange(m, dtype=np.uint64)
     d = 1
     while 2 * d <= width:
@@ -86,7 +88,7 @@ def settle(key: np.ndarray, rest: np.ndarray, doc: np.ndarray, at: np.ndarray) -
 
 RUNS = "kind int, digit long, run long, doc long, dk long, at long, n int"
 SPANS = "open boolean, dk long, doc long, at long, n int"
-WINDOWS = "kind int, key long, check long, doc long, dk long, at long"
+WINDOWS = "kind int, lead long, tail long, doc long, dk long, at long"
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
@@ -116,11 +118,12 @@ def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
 def repeated(docs: DataFrame, depth: int = 100, digit: int = DIGIT) -> DataFrame:
     """dk, spans: for each document (by key) that loses bytes, an array of (at, end) spans that cover them.
 
-    docs has doc (order of the documents), dk (key of the row) and text. Pass 1 sorts the runs by their first digit:
-    runs whose digit nobody shares are done, runs with equal bytes leave their first, and runs that share the digit
-    only stay open. Pass 2 sorts the windows of the open runs by all depth bytes: a group is a repeated string, of which
-    the first place stays. Each task first settles what repeats within its own chunk of texts, so that a passage
-    of a third of all documents gives one row a chunk.
+    docs has doc (order of the documents), dk (key of the row) and text. The first pass sorts the runs by their first
+    digit: runs whose digit nobody shares are done, runs with equal bytes leave their first, and runs that share the digit
+    only stay open. The windows of the open runs are sorted by two more digits, their first depth // 2 bytes and the rest,
+    the most significant first: after the last a group is a repeated string, of which the first place stays. Each task
+    first settles what repeats within its own chunk of texts, so that a passage of a third of all documents gives one row
+    a chunk.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,35 +176,45 @@ def repeated(docs: DataFrame, depth: int = 100, digit: int = DIGIT) -> DataFrame
             at = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             rank = np.searchsorted(pieces.text, text, side="left") + at // PIECE
             pos = pieces.starts[rank] + at - pieces.offset[rank]
-            key = bytesums.span_hash(bytesums.prefix(pieces.data, 3), pos, pos + depth).view(np.int64)
-            check = (bytesums.span_hash(bytesums.prefix(pieces.data, 5), pos, pos + depth) >> np.uint64(33)).astype(np.int64)
+            sums, middle = bytesums.prefix(pieces.data, 3), pos + depth // 2
+            lead, tail = (bytesums.span_hash(sums, a, b).view(np.int64) for a, b in ((pos, middle), (middle, pos + depth)))
             doc, dk = (batch.column(c).to_numpy()[text] for c in ("doc", "dk"))
-            order = np.lexsort((at, doc, check, key))
-            key, check, doc, dk, at = (x[order] for x in (key, check, doc, dk, at))
-            later = settle(key, check, doc, at)[2]
-            yield _batch(WINDOWS, np.where(later, REMOVED, CANDIDATE), np.where(later, _spread(dk, at), key), check, doc, dk, at)
+            order = np.lexsort((at, doc, tail, lead))
+            lead, tail, doc, dk, at = (x[order] for x in (lead, tail, doc, dk, at))
+            later = settle(lead, tail, doc, at)[2]
+            yield _batch(WINDOWS, np.where(later, REMOVED, CANDIDATE), np.where(later, _spread(dk, at), lead), tail, doc, dk, at)
 
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _sorted_runs(batches, "key"):
+        """Of sorted windows those that stand after the first of their group, which is all that is kept of it."""
+        names = ("lead", "tail", "doc", "at")
+        first = {c: np.zeros(0, np.int64) for c in names}
+        for batch in batches:
+            x = {c: batch.column(c).to_numpy() for c in batch.schema.names}
             gone = x["kind"] == REMOVED
             free = np.flatnonzero(~gone)
-            gone[free] = settle(x["key"][free], x["check"][free], x["doc"][free], x["at"][free])[2]
+            if len(free):
+                y = {c: np.concatenate([first[c], x[c][free]]) for c in names}
+                _, same, later = settle(*y.values())
+                gone[free] = later[-len(free) :]
+                first = {c: v[np.flatnonzero(same)[-1:]] for c, v in y.items()}
             yield _batch("dk long, at long", x["dk"][gone], x["at"][gone])
 
     still = spans.where("open").groupBy("dk").agg(F.collect_list(F.struct("at", "n")).alias("open"))  # a text's own runs
     asked = docs.join(still, "dk").select("doc", "dk", "text", "open").mapInArrow(windows, WINDOWS)
-    asked = asked.repartition("key").sortWithinPartitions("key", "check", "doc", "at")
+    asked = asked.repartition("lead", "tail").sortWithinPartitions("lead", "tail", "doc", "at")
     more = materialize(asked.mapInArrow(last_pass, "dk long, at long"), "windows")
     both = spans.where("not open").select("dk", "at", (F.col("at") + F.col("n") - 1 + depth).alias("end")).union(more.select("dk", "at", F.col("at") + depth))
-    return materialize(both.groupBy("dk").agg(F.collect_list(F.struct("at", "end")).alias("spans")), "removed")
+    out = materialize(both.groupBy("dk").agg(F.collect_list(F.struct("at", "end")).alias("spans")), "removed")
+    discard(spans, more)
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 100, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row (and kept binary if asked for).
 
     Removes each byte covered by a string of depth bytes that also starts earlier in (doc_id, offset) order of the
-    input. Strings are compared by 64-bit digits and 95-bit hashes of all their bytes, not by the bytes themselves: two
-    different strings are taken for one with a probability of 2**-95 a pair.
+    input. Strings are compared by 64-bit hashes of their digits, not by the bytes themselves: two different strings are
+    taken for one with a probability of 2**-64 a pair that shares a digit.
 
     Null or empty text: no bytes. Texts shorter than depth lose nothing. Null ids: one document after all others in the
     order. Rows that repeat an id and its text are one document with one result; rows of one id with different texts
