@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
+from strandline.llm.common import discard, materialize, table, unused
 
 # The base patterns. Group 1 of assign is what stands before the value, group 2 the value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -62,46 +62,74 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(matches(text, ASSIGN, 0, inner=True), matches(text, ACCESS, 1), matches(text, HEX, 2)))
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+BLOCK = 4096
+
+
+def _blocks(text: Column) -> Column:
+    """The text in pieces of BLOCK characters: what is cut out of a long text costs the pieces that it lies in."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _part(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text in blocks."""
+    piece = lambda i: F.substring(F.get(blocks, i), F.greatest(start - i * BLOCK, F.lit(0)) + 1, F.least(end, (i + 1) * BLOCK) - F.greatest(start, i * BLOCK))
+    at = lambda x: F.floor(x / BLOCK).cast("int")
+    return F.when(end > start, F.array_join(F.transform(F.sequence(at(start), at(end - 1)), piece), "")).otherwise("")
+
+
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """text with by(span, end of the spans before it) in place of each of the spans (sorted by start)."""
+
+    def run(z: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(s: Column, x: Column) -> Column:
+            out = F.array_append(F.array_append(s["out"], _part(z["blocks"], s["at"], x["start"])), by(x, s["at"]))
+            return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+
+        return F.aggregate(z["spans"], first, step, lambda s: F.array_join(F.array_append(s["out"], _part(z["blocks"], s["at"], z["size"])), ""))
+
+    found = _let(F.struct(_blocks(text).alias("blocks"), spans.alias("spans"), F.length(text).alias("size")), run)
+    return F.when(F.size(spans) > 0, found).otherwise(text)
+
+
 def _cut(text: Column, span: Column) -> Column:
     return F.substring(text, span["start"] + 1, span["end"] - span["start"])
 
 
-def training_samples(docs: DataFrame, id_col: str, text_col: str, strings: int = 4000, texts: int = 2000) -> DataFrame:
-    """s, label: labelled strings that the models learn from, at most about 4 x strings + 6000 of each label.
+def training_samples(docs: DataFrame, id_col: str, text_col: str, texts: int = 8000, plain: int = 2000) -> DataFrame:
+    """s, label: labelled strings that the models learn from.
 
-    Random (1): what the base patterns catch in the first `strings` texts, by id hash, that they catch anything in; and
-    SHA-256 digests written as hexadecimal, upper-case and base-64 text. Ordinary (0): words of 4 to 40 letters of the
-    first `texts` texts by id hash, alone and joined as identifiers are. The sample only fits the two models.
+    Random (1): what the base patterns catch, four strings a text, in a sample of about `texts` texts by the hash of their
+    row; and SHA-256 digests written as hexadecimal, upper-case and base-64 text. Ordinary (0): words of 4 to 40 letters,
+    200 a text, of about `plain` of the texts in which they catch nothing, alone and joined as identifiers are. The sample
+    only fits the two models. It is taken in one reading of the table, in which no pattern runs over other texts.
     """
-    texts_of = docs.select(F.xxhash64(id_col).alias("order"), _clean(F.col(text_col)).alias("t")).withColumn("key", F.xxhash64("t"))
-
-    def first(condition: Column, most: int) -> DataFrame:
-        """Texts of the first `most` rows: only keys are sorted, so no task gets the texts that all others put forward."""
-        keys = texts_of.where(condition).select("order", "key").orderBy("order", "key").limit(most).distinct()
-        return texts_of.join(F.broadcast(keys), ["order", "key"]).groupBy("order", "key").agg(F.first("t").alias("t"))  # `most` keys at most
-
-    held = F.col("t").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")
-    caught = first(held, strings)
-    spans = caught.select("t", F.explode(F.slice(base_spans(F.col("t")), 1, 4)).alias("s"))
+    order = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 32))
+    share = lambda most, of: F.lit(min(1 << 32, int(most / max(1, of) * (1 << 32))))
+    some = docs.where(order < share(texts, docs.count())).select(order.alias("order"), _clean(F.col(text_col)).alias("t"))
+    sample = materialize(some.withColumn("b", base_spans(F.col("t"))), "sample")
+    spans = sample.select("t", F.explode(F.slice("b", 1, 4)).alias("s"))
     caught = spans.select(F.regexp_replace(_cut(F.col("t"), F.col("s")), f"^{ASSIGN}$", "$2").alias("s"))
     digest = docs.sparkSession.range(2000).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("h"))
     made = digest.select(F.explode(F.array("h", F.upper("h"), F.base64(F.unhex("h")))).alias("s"))
-    plain = first(~held, texts)
-    words = plain.select(F.slice(F.regexp_extract_all("t", F.lit("([A-Za-z]{4,40})"), 1), 1, 200).alias("w"))
+    few = F.pmod(F.xxhash64("order"), F.lit(1 << 32)) < share(plain, sample.where("size(b) = 0").count())
+    words = sample.where(few & (F.size("b") == 0)).select(F.slice(F.regexp_extract_all("t", F.lit("([A-Za-z]{4,40})"), 1), 1, 200).alias("w"))
     pairs = words.select(F.explode(F.arrays_zip("w", F.slice("w", 2, 200).alias("v"))).alias("z")).select("z.w", F.coalesce("z.v", F.lit("")).alias("v"))
     forms = F.array(F.col("w"), F.concat(F.lower("w"), F.initcap("v")), F.concat_ws("_", F.lower("w"), F.lower("v")), F.upper(F.concat_ws("_", "w", "v")), F.concat_ws("-", F.lower("w"), F.lower("v")))
     ordinary = pairs.select(F.explode(forms).alias("s"))
-    return caught.union(made).select("s", F.lit(1).alias("label")).union(ordinary.select("s", F.lit(0).alias("label")))
+    out = materialize(caught.union(made).select("s", F.lit(1).alias("label")).union(ordinary.select("s", F.lit(0).alias("label"))), "strings")
+    discard(sample)
+    return out
 
 
-def log_ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 0.5) -> list[float]:
-    """log p_random(b | a) - log p_ordinary(b | a) for each pair of ALPHABET, row a, in nats.
-
-    Transitions are counted by Spark; the counts that come back are two square tables at most.
-    """
-    samples = training_samples(docs, id_col, text_col).where(F.length("s") >= 2)
-    steps = samples.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))).alias("ab"))
-    counts = {(r.label, r.ab): r.n for r in steps.groupBy("label", "ab").agg(F.count("*").alias("n")).collect() if set(r.ab) <= set(ALPHABET)}
+def ratios_of(counts: dict[tuple[int, str], int], smoothing: float) -> list[float]:
+    """log p_random(b | a) - log p_ordinary(b | a) from counts of (label, ab), for each pair of ALPHABET, row a."""
     out = []
     for a in ALPHABET:
         sums = [sum(counts.get((label, a + b), 0) for b in ALPHABET) + smoothing * len(ALPHABET) for label in (0, 1)]
@@ -111,17 +139,21 @@ def log_ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out
 
 
-def _without(text: Column, base: Column) -> Column:
-    """text with blanks for what base spans (by start) cover."""
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def log_ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 0.5) -> list[float]:
+    """log p_random(b | a) - log p_ordinary(b | a) for each pair of ALPHABET, row a, in nats.
+
+    Transitions are counted by Spark; the counts that come back are two square tables at most.
+    """
+    strings = training_samples(docs, id_col, text_col)
+    steps = strings.where(F.length("s") >= 2).select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))).alias("ab"))
+    counts = {(r.label, r.ab): r.n for r in steps.groupBy("label", "ab").agg(F.count("*").alias("n")).collect() if set(r.ab) <= set(ALPHABET)}
+    discard(strings)
+    return ratios_of(counts, smoothing)
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], s["at"]), F.lit(0)))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap, blank).alias("out"))
 
-    cut = F.aggregate(base, first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(base) > 0, cut).otherwise(text)
+def _without(text: Column, base: Column) -> Column:
+    """text with blanks for what base spans (by start) cover."""
+    return _replaced(text, base, lambda x, at: F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], at), F.lit(0))))
 
 
 def markov_spans(text: Column, base: Column, ratios: list[float], shortest: int = 20, threshold: float = 0.35, different: int = 8) -> Column:
@@ -172,10 +204,12 @@ def _position(c: Column) -> Column:
     return F.call_function("instr", F.lit(ALPHABET), c).cast("int") - 1
 
 
-def spans(docs: DataFrame, ratios: list[float], text_col: str = "text", **limits: float) -> DataFrame:
-    """docs with _text (marks replaced), _base and _spans (all, by start, then kind) added. No shuffle, no Python."""
-    with_base = docs.withColumn("_text", _clean(F.col(text_col))).withColumn("_base", base_spans(F.col("_text")))
-    return with_base.withColumn("_spans", F.array_sort(F.concat("_base", markov_spans(F.col("_text"), F.col("_base"), ratios, **limits))))
+def spans(docs: DataFrame, ratios: list[float], text_col: str = "text", names: tuple[str, ...] = ("_text", "_base", "_spans"), **limits: float) -> DataFrame:
+    """docs with three columns added: the text, marks replaced; base spans; all spans, by start, then kind. No shuffle, no
+    Python. The names must be those of no column of docs."""
+    clean, base, every = names
+    with_base = docs.withColumn(clean, _clean(F.col(text_col))).withColumn(base, base_spans(F.col(clean)))
+    return with_base.withColumn(every, F.array_sort(F.concat(base, markov_spans(F.col(clean), F.col(base), ratios, **limits))))
 
 
 def _text_form(spans: Column) -> Column:
@@ -200,17 +234,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
 
     Texts without a span stay as they are, null included.
     """
-    found = spans(docs, log_ratios(docs, id_col, text_col), text_col)
-    text = F.col(text_col)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        out = F.when(x["start"] >= s["at"], F.concat(s["out"], gap, F.lit(mask))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
-
-    cut = F.aggregate("_spans", first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    clear = F.when(F.size("_spans") > 0, cut).otherwise(text)
+    names = unused(docs, "clean", "base", "spans")
+    found = spans(docs, log_ratios(docs, id_col, text_col), text_col, names)
+    clear = _replaced(F.col(text_col), F.col(names[2]), lambda x, at: F.when(x["start"] >= at, mask).otherwise(""))
     return found.select(*[clear.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
