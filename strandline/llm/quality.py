@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import bytesums
-from strandline.llm.common import chunks, crc_fold, table, texts_of
+from strandline.llm.common import chunks, crc_fold, table, texts_of, unused
 
 PASSAGE = 512
 SAMPLE = 8000
@@ -213,7 +213,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5) -> DataFrame:
     """The rows of docs, all columns as they are, whose score is at_least or more."""
     model = fit(docs, labels, id_col, text_col)
-    return score(docs, model, text_col, "_quality").where(F.col("_quality") >= at_least).drop("_quality")
+    (name,) = unused(docs, "quality")
+    return score(docs, model, text_col, name).where(F.col(name) >= at_least).drop(name)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

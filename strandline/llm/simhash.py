@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import chunks, materialize, table, texts_of
+from strandline.llm.common import chunks, materialize, table, texts_of, unused
 from strandline.llm.components import components
 
 BITS = 64
@@ -33,9 +33,8 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=False)), "<u8", n - width + 1)
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """Signed 64-bit SimHash of the text's word shingles; 0 without words."""
-    hashes = shingle_hashes(text, width)
+def simhash(hashes: np.ndarray) -> int:
+    """Signed 64-bit number of the bits that are set in over half the hashes; 0 without any."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -44,6 +43,11 @@ def fingerprint(text: bytes, width: int) -> int:
     return int(bits.view("<i8")[0])
 
 
+def fingerprint(text: bytes, width: int) -> int:
+    """SimHash of the text's word shingles."""
+    return simhash(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """doc_id, fp (long) of each row."""
 
@@ -208,14 +212,16 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Col
 
 
 def only(docs: DataFrame, key: Column, rows: DataFrame, stays: DataFrame) -> DataFrame:
-    """docs whose key is among stays (_key), one row of those that repeat a key; rows has all of `row`."""
-    kept = docs.withColumn("_key", key).join(stays, "_key", "left_semi")
-    twice = rows.groupBy("row").count().where("count > 1").select(F.col("row.key").alias("_key")).join(stays, "_key", "left_semi")
+    """docs whose key is among stays (key), one row of those that repeat a key; rows has all of `row`."""
+    (name,) = unused(docs, "key")
+    stays = stays.select(F.col("key").alias(name))
+    kept = docs.withColumn(name, key).join(stays, name, "left_semi")
+    twice = rows.groupBy("row").count().where("count > 1").select(F.col("row.key").alias(name)).join(stays, name, "left_semi")
     twice = materialize(twice, "twice")
     if twice.isEmpty():
-        return kept.drop("_key")
-    single = kept.join(twice, "_key", "left_anti")
-    return single.unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"])).drop("_key")
+        return kept.drop(name)
+    single = kept.join(twice, name, "left_anti")
+    return single.unionByName(kept.join(twice, name, "left_semi").dropDuplicates([name])).drop(name)
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -226,7 +232,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim, key = rows_of(docs, id_col, text_col)
     fps = materialize(fingerprints(slim, "row", "text", width).select("fp", F.col("doc_id").alias("row")), "fingerprints")
     nodes = labelled(fps, F.col("row"), radius)
-    stays = materialize(nodes.groupBy("component").agg(F.min("first").alias("row")).select(F.col("row.key").alias("_key")).distinct(), "stays")
+    stays = materialize(nodes.groupBy("component").agg(F.min("first").alias("row")).select("row.key").distinct(), "stays")
     return only(docs, key, fps, stays)
 
 

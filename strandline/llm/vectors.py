@@ -122,7 +122,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     common = nodes.groupBy("width").count().orderBy(F.desc("count"), "width").first()
     width = common["width"] if common else 0
     sample = sampled(nodes.where(F.col("width") == width), SAMPLE)
-    k = max(1, min(len(sample), 1024, total // per_cell))
+    k = max(1, min(len(sample) // 4, total // per_cell))  # four vectors of the sample a cell at least
     centres = spherical_kmeans(unit(sample), k) if len(sample) else np.zeros((1, width))
     gaps = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
     reach = np.sqrt(max(0.0, 2 - 2 * threshold)) * min(1.0, sigmas / np.sqrt(max(1, width))) + 1e-9
