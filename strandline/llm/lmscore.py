@@ -80,15 +80,16 @@ class Index:
         bits = max(1, len(keys).bit_length())
         low = np.uint64((1 << bits) - 1)
         packed = np.sort(bytesums.mix(keys) & ~low | np.arange(len(keys), dtype=np.uint64))
-        self.order = (packed & low).astype(np.int64)
+        self.order = (packed & low).astype(np.int32)
         self.keys, self.shift = keys[self.order], np.uint64(64 - bits)
-        self.start = np.concatenate([[0], np.cumsum(np.bincount((packed >> self.shift).astype(np.int64), minlength=1 << bits))])
+        packed >>= self.shift
+        self.start = np.searchsorted(packed, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, -1 where there is none."""
         keys = keys.astype(np.uint64)
         slot = (bytesums.mix(keys) >> self.shift).astype(np.int64)
-        at, end, out = self.start[slot], self.start[slot + 1], np.full(len(keys), -1)
+        at, end, out = self.start[slot], self.start[slot + 1], np.full(len(keys), -1, np.int32)
         todo = np.flatnonzero(at < end)
         while len(todo):
             here = at[todo]
@@ -133,11 +134,11 @@ class Automaton:
         three = (triple_count + model.mu[1] * two[q]) / (pair_count[p] + model.mu[1])
         self.root, self.root_to = np.log10(one), np.where(word_count > 0, 1 + np.arange(n), 0)
         seen, known = pair_count > 0, triple_count > 0
-        self.arcs = Index(np.concatenate([(1 + v[seen]) * n + w[seen], (1 + n + p[known]) * n + last[known]]))
+        self.arcs = Index(np.concatenate([(np.int64(1) + v[seen]) * n + w[seen], (np.int64(1 + n) + p[known]) * n + last[known]]))
         self.weight = np.log10(np.concatenate([two[seen], three[known]]))
         to, word = np.concatenate([np.flatnonzero(seen), q[known]]), np.concatenate([w[seen], last[known]])
-        self.to = np.where(word == end, 1 + end, 1 + n + to)  # after an end the next text starts
-        self.fail = np.concatenate([np.zeros(1 + n, np.int64), 1 + w])
+        self.to = np.where(word == end, 1 + end, 1 + n + to).astype(np.int32)  # after an end the next text starts
+        self.fail = np.concatenate([np.zeros(1 + n, np.int32), 1 + w.astype(np.int32)])
         self.backoff = np.log10(np.concatenate([[1.0], model.mu[0] / (word_count + model.mu[0]), model.mu[1] / (pair_count + model.mu[1])]))
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +146,7 @@ class Automaton:
         state, weight, to = state.copy(), np.zeros(len(state)), np.zeros(len(state), np.int64)
         todo = np.flatnonzero(state)
         while len(todo):
-            arc = self.arcs.find(state[todo] * self.words + word[todo])
+            arc = self.arcs.find(state[todo].astype(np.int64) * self.words + word[todo])
             hit = arc >= 0
             weight[todo[hit]] += self.weight[arc[hit]]
             to[todo[hit]] = self.to[arc[hit]]
@@ -184,8 +185,8 @@ def automaton(model: Model, keys: np.ndarray, first: np.ndarray, counts: list[np
     before = np.concatenate([word[:1], word[:-1]])
     before[first] = end = int(word[np.flatnonzero(keys == END)[0]])
     # Any token that ends an n-gram tells its parts.
-    of_pair, of_triple = np.zeros(len(counts[PAIRS]), np.int64), np.zeros(len(counts[TRIPLES]), np.int64)
-    at = np.arange(len(keys))
+    of_pair, of_triple = np.zeros(len(counts[PAIRS]), np.int32), np.zeros(len(counts[TRIPLES]), np.int32)
+    at = np.arange(len(keys), dtype=np.int32)
     of_pair[pair] = at
     ends = np.flatnonzero(triple >= 0)
     of_triple[triple[ends]] = ends
@@ -209,7 +210,7 @@ def _unpack_keys(x: bytes) -> np.ndarray:
     return np.cumsum(_unpack(x), dtype=np.uint64) << EMPTY
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, mu: tuple[float, float] = (256.0, 32.0), least_mb: float = 2.0, most_mb: float = 16.0) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, mu: tuple[float, float] = (256.0, 32.0), least_mb: float = 1.0, most_mb: float = 8.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     Texts whose crc32(id as text) mod folds is `held` are scored only, the others also train. Texts are dealt into blocks
@@ -226,7 +227,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     table: no rows. Other columns are not read.
     """
     mb = input_mb(docs, text_col)
-    blocks = buckets = max(32, int(mb / min(most_mb, max(least_mb, mb**0.5 / 4))) + 1)
+    blocks = buckets = max(32, int(mb / min(most_mb, max(least_mb, mb**0.5 / 6))) + 1)
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), (crc_fold(id_col, folds) == held).alias("held_out"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(blocks)).cast("int").alias("block"))
 
@@ -279,7 +280,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             totals.append(np.concatenate([np.zeros(0, np.uint64), *map(_unpack, parts)]).astype(np.int64))
             if len(totals[-1]) != len(held_here[kind][0]):
                 raise RuntimeError("the texts of a block have changed since its n-grams were counted")
-            places.append(Index(held_here[kind][0]).find(own[kind]))
+            places.append(Index(held_here.pop(kind)[0]).find(own[kind]))
+        del own
         first = np.cumsum(counts) - counts
         machine = automaton(model, keys, first, totals, places)
         logs = machine.traverse(places[WORDS], first, counts)
