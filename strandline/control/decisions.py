@@ -30,8 +30,8 @@ def effective_policy(policy: Column, input_uri: Column, output_uri: Column) -> C
 
 
 def entry_hash(input_uri: Column, output_uri: Column, path: Column, policy: Column) -> Column:
-    """Differs when any part does; parts are kept apart, so that swapped URIs differ too."""
-    return F.md5(F.concat_ws("|", input_uri, F.coalesce(output_uri, F.lit("")), F.array_join(path, "/"), policy))
+    """Differs when any part does: of the parts as JSON, so that swapped URIs and moved separators differ too."""
+    return F.md5(F.to_json(F.struct(input_uri.alias("i"), output_uri.alias("o"), path.alias("p"), policy.alias("r"))))
 
 
 def add_errors(requests: DataFrame) -> DataFrame:

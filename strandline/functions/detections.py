@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandline.functions import tensors
+from strandline.functions import geometry, tensors
 
 CONFIDENCE, IOU = 0.45, 0.5
 # The labels of the detector's classes, by number.
@@ -40,13 +40,13 @@ def decode(row: Column, least: float = CONFIDENCE) -> Column:
     return F.when(usable_scores(scores) & (best["score"] >= least), found)
 
 
-def iou(a: Column, b: Column) -> Column:
-    """Of two boxes given by corners; 0 if both are empty."""
+def iou(a: Column, b: Column, empty: float = 0.0) -> Column:
+    """Of two boxes given by corners; `empty` if both are empty."""
     w = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0))
     h = F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), F.lit(0.0))
     area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
     union = area(a) + area(b) - w * h
-    return F.when(union > 0, w * h / union).otherwise(0.0)
+    return F.when(union > 0, w * h / union).otherwise(F.lit(empty))
 
 
 def as_sized(box: Column) -> Column:
@@ -57,22 +57,46 @@ def as_sized(box: Column) -> Column:
 def suppress(found: Column, kind: str, overlap: float = IOU, least: float | None = None, sized: bool = False) -> Column:
     """Greedy non-maximum suppression of array<struct<box, score, ...>>: by falling score, ties by place.
 
-    kind: Spark's type of one element. sized: see as_sized().
+    kind: Spark's type of one element. sized: see as_sized(); two empty boxes then count as one.
     """
     box = (lambda d: as_sized(d["box"])) if sized else (lambda d: d["box"])
     order = F.transform(found, lambda d, i: F.struct((-d["score"]).alias("k"), i.alias("i"), d.alias("d")))
     ranked = F.transform(F.array_sort(order), lambda s: s["d"])
     if least is not None:
         ranked = F.filter(ranked, lambda d: d["score"] > least)
-    keep = lambda kept, d: F.when(F.exists(kept, lambda q: iou(box(q), box(d)) > overlap), kept).otherwise(F.array_append(kept, d))
+    keep = lambda kept, d: F.when(F.exists(kept, lambda q: iou(box(q), box(d), float(sized)) > overlap), kept).otherwise(F.array_append(kept, d))
     return F.aggregate(ranked, F.array().cast(f"array<{kind}>"), keep)
 
 
+FOUND = "struct<box:array<int>,class:int,score:double>"
+
+
+def predictions(output: Column, channels: int, count: int) -> Column:
+    """Rows of (x, y, w, h, class scores...) from a flat output whose channels come one after another."""
+    row = lambda i: F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.get(output, (c * count + i).cast("int")).cast("double"))
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), row)
+
+
+def detected(rows: Column, width: Column, height: Column, size: int = 640, least: float = CONFIDENCE, overlap: float = IOU) -> Column:
+    """What a detector found in a frame, array<FOUND>, from its predictions on the padded square input: boxes of usable
+    scores, moved into the frame, clipped to it, as corners, best first, those that overlap a better one left out."""
+    found = F.filter(F.transform(rows, lambda r: decode(r, least)), lambda d: d.isNotNull())
+    place = lambda d: geometry.corners(geometry.clip_box(geometry.unletterbox(d["box"], width, height, size, size), width.cast("int"), height.cast("int")))
+    placed = F.transform(found, lambda d: F.struct(place(d).alias("box"), d["class"].alias("class"), d["score"].alias("score")))
+    return suppress(placed, FOUND, overlap, least, sized=True)
+
+
 def open_vocabulary(found: Column) -> Column:
     """Of array<struct<box, class, score>>: classes and scores that aren't negative, scores from 0.05 to below 1."""
     return F.filter(found, lambda d: (d["class"] >= 0) & (d["score"] >= 0.05) & (d["score"] < 1))
 
 
+def open_vocabulary_boxes(found: Column, width: Column, height: Column, size: int = 640) -> Column:
+    """open_vocabulary(), boxes (two corners) moved from the padded square input into the frame."""
+    place = lambda d: geometry.unletterbox(d["box"], width, height, size, size, corners=True)
+    return F.transform(open_vocabulary(found), lambda d: F.struct(place(d).alias("box"), d["class"].alias("class"), d["score"].alias("score")))
+
+
 def label(number: Column, labels: tuple[str, ...] = LABELS) -> Column:
     """Null outside the list."""
     return F.get(F.array(*[F.lit(x) for x in labels]), number)

@@ -44,13 +44,14 @@ def fit_longer(width: Column, height: Column, to: int = 256, step: int = 32) ->
     return F.struct(w.alias("width"), h.alias("height"), F.when(tall, padded(w)).otherwise(to).alias("input_width"), F.when(tall, to).otherwise(padded(h)).alias("input_height"))
 
 
-def unletterbox(box: Column, width: Column, height: Column, from_width: int = 640, from_height: int = 640) -> Column:
-    """A box (x, y, w, h) of a padded square input as left, top, width, height in the frame."""
+def unletterbox(box: Column, width: Column, height: Column, from_width: int = 640, from_height: int = 640, corners: bool = False) -> Column:
+    """A box of a padded square input in the frame: (x, y, w, h) as left, top, width, height, or two corners as two corners."""
     tall = height > width
     factor = F.when(tall, height / F.lit(float(from_height))).otherwise(width / F.lit(float(from_width)))
     pad = F.when(tall, F.floor((from_width - width / factor) / 2)).otherwise(F.floor((from_height - height / factor) / 2))
-    x, y = F.when(tall, box[0] - pad).otherwise(box[0]), F.when(tall, box[1]).otherwise(box[1] - pad)
-    return F.array(*[_int(v * factor) for v in (x, y, box[2], box[3])])
+    x_pad, y_pad = F.when(tall, pad).otherwise(0), F.when(tall, 0).otherwise(pad)
+    second = (box[2] - x_pad, box[3] - y_pad) if corners else (box[2], box[3])
+    return F.array(*[_int(v * factor) for v in (box[0] - x_pad, box[1] - y_pad, *second)])
 
 
 def rescale(box: Column, fx: Column, fy: Column) -> Column:
@@ -103,8 +104,8 @@ def rays(cx: Column, cy: Column, length: Column) -> Column:
 
 
 def tone(frequency: Column, rate: Column, fps: Column) -> Column:
-    """Samples (16 bits) of a sine at half volume over one frame."""
-    n = F.floor(rate / fps).cast("int")
+    """Samples (16 bits) of a sine at half volume over one frame; a part of a sample counts as one."""
+    n = F.ceil(rate / fps).cast("int")
     wave = lambda i: (F.sin(frequency * i / rate * (2 * math.pi)) * 0.5 * 32767).cast("smallint")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), wave)).otherwise(F.array().cast("array<smallint>"))
 

@@ -29,6 +29,24 @@ def transpose(a: Column, rows: int, columns: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(rows * columns - 1)), lambda i: F.get(a, ((i % rows) * columns + F.floor(i / rows)).cast("int")))
 
 
+def padded(a: Column, height: int, width: int, channels: int, to_height: int, to_width: int, fill: float = 128) -> Column:
+    """A flat image in the middle of a larger one; the odd row and column of the padding go to the bottom and the right."""
+    top, left = (to_height - height) // 2, (to_width - width) // 2
+
+    def at(i: Column) -> Column:
+        y, x = F.floor(i / (to_width * channels)) - top, F.floor(i / channels) % to_width - left
+        inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)
+        return F.when(inside, F.get(a, ((y * width + x) * channels + i % channels).cast("int")).cast("double")).otherwise(float(fill))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(to_height * to_width * channels - 1)), at)
+
+
+def input_tensor(a: Column, height: int, width: int, channels: int, to_height: int, to_width: int, fill: float = 128, by: float = 255.0) -> Column:
+    """A flat image as a model's input: padded, scaled, channels first."""
+    whole = normalize(padded(a, height, width, channels, to_height, to_width, fill), by)
+    return F.get(F.transform(F.array(whole), lambda x: tensor(hwc_to_chw(x, to_height, to_width, channels), channels, to_height, to_width)), F.lit(0))
+
+
 def argmax(a: Column) -> Column:
     """Place of the first maximum."""
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")

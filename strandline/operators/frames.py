@@ -108,5 +108,6 @@ def spread_fold(rows: DataFrame, key: str, order: list[str], bucket: Column, fol
     starts = totals.select(key, "_bucket", *[F.coalesce(F.sum(f"_total_{n}").over(earlier), F.lit(0)).alias(f"_from_{n}") for n in folds])
     inside = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.withColumns({f"_sum_{n}": F.sum(v).over(inside) for n, v in folds.items()})
-    joined = local.join(starts, [key, "_bucket"])
-    return joined.select(*rows.columns, *[(F.col(f"_from_{n}") + F.col(f"_sum_{n}")).alias(n) for n in folds])
+    starts = starts.withColumnsRenamed({key: "_key", "_bucket": "_of"})
+    joined = local.join(starts, local[key].eqNullSafe(F.col("_key")) & local["_bucket"].eqNullSafe(F.col("_of")))  # rows without a key are a stream too
+    return joined.select(*[local[c] for c in rows.columns], *[(F.col(f"_from_{n}") + F.col(f"_sum_{n}")).alias(n) for n in folds])

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cache
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from strandline.plans.path import PROCESS, Hook
 from strandline.schemas import TENSOR
 
+log = logging.getLogger(__name__)
 PROVIDERS = {"cpu": "CPUExecutionProvider", "cuda": "CUDAExecutionProvider", "tensorrt": "TensorrtExecutionProvider", "openvino": "OpenVINOExecutionProvider", "coreml": "CoreMLExecutionProvider"}
 
 
@@ -25,6 +27,7 @@ class InferenceSpec:
     runtime: str
     model_uri: str
     params: dict = field(default_factory=dict)
+    stateful: bool = False
 
     @staticmethod
     def parse(data: dict) -> InferenceSpec:
@@ -34,7 +37,7 @@ class InferenceSpec:
         params = data.get("inference_params") or {}
         if not isinstance(params, dict):
             raise TypeError("inference_params must be an object")
-        if not isinstance(data.get("make_stateful", False), bool):
+        if not isinstance(data.get("make_stateful") or False, bool):
             raise TypeError("make_stateful must be a boolean")
         if data["runtime"] != "onnx":
             raise NotImplementedError(f"runtime {data['runtime']}")
@@ -42,7 +45,7 @@ class InferenceSpec:
             raise ValueError(f"execution provider {params['execution_provider']}")
         if params.get("execution_mode", "sequential") not in ("sequential", "parallel"):
             raise ValueError(f"execution mode {params['execution_mode']}")
-        return InferenceSpec(data["runtime"], data["model_uri"], params)
+        return InferenceSpec(data["runtime"], data["model_uri"], params, data.get("make_stateful") or False)
 
 
 def publish(spark: SparkSession, spec: InferenceSpec) -> InferenceSpec:
@@ -51,7 +54,7 @@ def publish(spark: SparkSession, spec: InferenceSpec) -> InferenceSpec:
     if scheme not in ("", "file", "http", "https", "hdfs", "s3a"):
         raise ValueError(f"can't fetch {spec.model_uri}")
     spark.sparkContext.addFile(rest if scheme == "file" else spec.model_uri)
-    return InferenceSpec(spec.runtime, "shipped://" + spec.model_uri.rsplit("/", 1)[-1], spec.params)
+    return replace(spec, model_uri="shipped://" + spec.model_uri.rsplit("/", 1)[-1])
 
 
 @cache
@@ -69,7 +72,19 @@ def _session(path: str, params: tuple):
     if known.get("custom_op_lib_path"):
         options.register_custom_ops_library(known["custom_op_lib_path"])
     wanted = PROVIDERS[known.get("execution_provider", "cpu").lower()]
-    return ort.InferenceSession(path, options, providers=[p for p in (wanted, PROVIDERS["cpu"]) if p in ort.get_available_providers()])
+    session = ort.InferenceSession(path, options, providers=[p for p in dict.fromkeys((wanted, PROVIDERS["cpu"])) if p in ort.get_available_providers()])
+    _warm(session)
+    return session
+
+
+def _warm(session) -> None:
+    """A first call on zeros, where the model says the size of its input: frames don't wait for what it sets up."""
+    first, *others = session.get_inputs()
+    if not others and first.type == "tensor(float)" and all(isinstance(n, int) for n in first.shape[1:]):
+        try:
+            session.run(None, {first.name: np.zeros((1, *first.shape[1:]), np.float32)})
+        except Exception as e:
+            log.warning("warm-up failed: %s", e)
 
 
 def _path(uri: str) -> str:
@@ -79,32 +94,42 @@ def _path(uri: str) -> str:
 def infer(df: DataFrame, spec: InferenceSpec, source: str = "inference_input", target: str = "inference_output", most: int = 256) -> DataFrame:
     """Run the model's first input on `source` (struct of shape and data); `target` maps output names to tensors.
 
-    Frames of equal shape share a call. Rows without input, and rows whose call fails, keep a null or their old target.
+    Frames of equal shape share a call; outputs keep the batch axis, of length 1. Rows without input, with data that doesn't
+    fit its shape, or whose own call fails keep a null or their old target: a call of many rows that fails is made again
+    row by row. A stateful spec gets each stream's frames in order, one a call.
     """
+    if spec.stateful:
+        df, most = df.repartition("pipeline_id").sortWithinPartitions("pipeline_id", "frame_number"), 1
     schema = T.StructType([f for f in df.schema.fields if f.name != target] + [T.StructField(target, T.MapType(T.StringType(), TENSOR))])
     names = schema.names
-    uri, params = spec.model_uri, tuple(sorted(spec.params.items()))
+    uri, params, in_order = spec.model_uri, tuple(sorted(spec.params.items())), spec.stateful
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         session = _session(_path(uri), params)
         into = session.get_inputs()[0].name
         outputs = [o.name for o in session.get_outputs()]
+
+        def call(inputs: list[np.ndarray]) -> list[dict | None]:
+            try:
+                results = session.run(None, {into: np.stack(inputs)})
+            except Exception:
+                return [r for x in inputs for r in call([x])] if len(inputs) > 1 else [None]
+            known = [(n, r) for n, r in zip(outputs, results, strict=True) if r.dtype.kind in "fi" and len(r) == len(inputs)]
+            return [{n: {"shape": [1, *r.shape[1:]], "data": r[k].astype(np.float32).ravel().tolist()} for n, r in known} for k in range(len(inputs))]
+
         for batch in batches:
             found: list[dict | None] = list(batch[target]) if target in batch else [None] * len(batch)
-            groups: dict[tuple, list[int]] = {}
+            groups: dict[tuple, list[tuple[int, np.ndarray]]] = {}
             for i, x in enumerate(batch[source]):
-                if x is not None and x["data"] is not None and len(x["data"]):
-                    groups.setdefault(tuple(x["shape"]), []).append(i)
-            for shape, rows in groups.items():
+                data = None if x is None or x["data"] is None or x["shape"] is None else np.asarray(x["data"], np.float32)
+                shape = () if data is None else tuple(int(n) for n in x["shape"])
+                if data is not None and len(data) and min(shape, default=1) >= 0 and len(data) == np.prod(shape, dtype=np.int64):
+                    groups.setdefault((shape, i if in_order else 0), []).append((i, data.reshape(shape)))
+            for rows in groups.values():
                 for at in range(0, len(rows), most):
                     part = rows[at : at + most]
-                    x = np.stack([np.asarray(batch[source].iloc[i]["data"], np.float32).reshape(shape) for i in part])
-                    try:
-                        results = session.run(None, {into: x})
-                    except Exception:  # the frames go on unchanged
-                        continue
-                    for k, i in enumerate(part):
-                        found[i] = {n: {"shape": list(r.shape[1:]), "data": r[k].astype(np.float32).ravel().tolist()} for n, r in zip(outputs, results, strict=True) if r.dtype.kind in "fi"}
+                    for (i, _), result in zip(part, call([x for _, x in part]), strict=True):
+                        found[i] = result if result is not None else found[i]
             out = batch.drop(columns=[target], errors="ignore").copy()
             out[target] = pd.Series(found, index=batch.index, dtype=object)
             yield out[names]
@@ -157,7 +182,8 @@ def apply_model(df: DataFrame, model: Model, writes: dict[str, T.DataType], most
 
 
 def inference_hook(spec: InferenceSpec, kind: str = PROCESS) -> Hook:
-    return Hook(kind, rows=lambda d: infer(d, spec))
+    """A hook that ships its model when a path runs."""
+    return Hook(kind, rows=lambda d: infer(d, spec if spec.model_uri.startswith("shipped://") else publish(d.sparkSession, spec)), stateful=spec.stateful)
 
 
 def linear_model(weights: np.ndarray) -> bytes:

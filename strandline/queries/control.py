@@ -83,7 +83,7 @@ def stream_add_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{ENTRIES} SELECT id, CASE WHEN input_uri LIKE 'file://%' THEN 'never' ELSE restart_policy END AS policy,
-  md5(input_uri || '|' || coalesce(output_uri, '') || '|' || array_to_string(frame_path, '/') || '|' || restart_policy) AS entry_hash FROM entries""")
+  md5('{{"i":"' || input_uri || '"' || coalesce(',"o":"' || output_uri || '"', '') || ',"p":["' || array_to_string(frame_path, '","') || '"],"r":"' || restart_policy || '"}}') AS entry_hash FROM entries""")
 def policy_file_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     return entries(spark, sf_dir).select("id", decisions.effective_policy(c("restart_policy"), c("input_uri"), c("output_uri")).alias("policy"), decisions.entry_hash(c("input_uri"), c("output_uri"), c("frame_path"), c("restart_policy")).alias("entry_hash"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 
@@ -38,6 +39,24 @@ def onnx_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.infer(rows, spec).select("vec_id", scores.alias("scores"))
 
 
+@query(f"""SELECT vec_id AS frame_number, list_transform(range({CLASSES}), lambda c: round(list_sum(list_transform(list_filter(range(64), lambda i: i % {CLASSES} = c), lambda i: CAST(embedding[CAST(i + 1 AS INTEGER)] AS DOUBLE))), 3) + 0.0) AS scores,
+  [1, {CLASSES}] AS shape FROM embeddings WHERE vec_id % 3 > 0""")
+def declared_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage folder that declares its model in JSON, run from its path: frames without input get no output."""
+    folder = tempfile.mkdtemp()
+    os.mkdir(os.path.join(folder, "score"))
+    model = os.path.join(folder, "strandline-declared.onnx")
+    with open(model, "wb") as file:
+        file.write(inference.linear_model(weights()))
+    with open(os.path.join(folder, "score", "process.json"), "w") as file:
+        json.dump({"runtime": "onnx", "model_uri": "file://" + model, "inference_params": {"execution_provider": "cpu"}, "make_stateful": True}, file)
+    stages = Registry.from_dir(folder)
+    tensor = F.when(F.col("vec_id") % 3 > 0, tensors.tensor(F.col("embedding"), 64))
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 7).alias("pipeline_id"), F.col("vec_id").alias("frame_number"), tensor.alias("inference_input"))
+    y = F.element_at("inference_output", F.lit("y"))
+    return execute(rows, stages.path("score"), stages).where("inference_output IS NOT NULL").select("frame_number", F.transform(y["data"], lambda x: F.round(x.cast("double"), 3) + 0.0).alias("scores"), y["shape"].alias("shape"))
+
+
 @query(f"{SHED} SELECT pipeline_id, frame_number, CAST(count(*) OVER w AS BIGINT) AS n, round(sum(value) OVER w, 4) AS total FROM kept WINDOW w AS (PARTITION BY pipeline_id ORDER BY frame_number ROWS UNBOUNDED PRECEDING)")
 def ordered_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming processor in batch: the state of each stream over the frames that came through, gaps skipped."""

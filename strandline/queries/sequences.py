@@ -129,7 +129,9 @@ def stateful_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT pipeline_id, max(frame_number) AS last_frame, count(*) AS frames FROM (SELECT user_id AS pipeline_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame_number
   FROM events) GROUP BY 1""")
 def last_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bus(spark, sf_dir).groupBy("pipeline_id").agg(F.max("frame_number").alias("last_frame"), F.count("*").alias("frames"))
+    """Frames are numbered without gaps, so a count is also the last number: no stream is sorted."""
+    counts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("pipeline_id")).agg(F.count("*").alias("frames"))
+    return counts.select("pipeline_id", F.col("frames").alias("last_frame"), "frames")
 
 
 @query("SELECT event_id, CASE WHEN 3 * (100 + event_id % 50) > 3 * (10 + event_id % 5) * 12 THEN 'size changed' END AS problem FROM events")
@@ -283,7 +285,7 @@ def circle_mirror_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, list_transform(range(8), lambda k: CAST(trunc(320 + (event_id % 50) * cos(pi() / 8 + k * pi() / 4)) AS INTEGER)) AS xs,
-  list_transform(range(CAST(floor(800 / (10 + event_id % 50)) AS BIGINT)), lambda i: CAST(trunc(sin(440 * i / CAST(800 AS DOUBLE) * (2 * pi())) * 0.5 * 32767) AS SMALLINT)) AS wave FROM events""")
+  list_transform(range(CAST(ceil(800 / (10 + event_id % 50)) AS BIGINT)), lambda i: CAST(trunc(sin(440 * i / CAST(800 AS DOUBLE) * (2 * pi())) * 0.5 * 32767) AS SMALLINT)) AS wave FROM events""")
 def rays_and_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     ends = geometry.rays(F.lit(320), F.lit(240), i % 50)

@@ -100,6 +100,50 @@ def openvocab_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.size("f") > 0).select("vec_id", F.size("f").cast("long").alias("n"), F.round(total, 6).alias("total"))
 
 
+@query(f"""{DOUBLES}, d AS (SELECT vec_id, 200 + vec_id % 1000 AS w, 200 + (vec_id * 7) % 1000 AS h, unnest(range(8)) AS i, v FROM t),
+  p AS (SELECT vec_id, w, h, i, (v[i + 1] + 0.5) * 640 AS x, (v[i + 9] + 0.5) * 640 AS y, (v[i + 17] + 0.5) * 300 AS bw, (v[i + 25] + 0.5) * 300 AS bh,
+  [abs(v[i + 33]) * 3, abs(v[i + 41]) * 3, abs(v[i + 49]) * 3, abs(v[i + 57]) * 3] AS s, CASE WHEN h > w THEN h / 640::DOUBLE ELSE w / 640::DOUBLE END AS f FROM d),
+  u AS (SELECT *, list_max(s) AS score, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS class, CASE WHEN h > w THEN floor((640 - w / f) / 2) ELSE 0 END AS px, CASE WHEN h > w THEN 0 ELSE floor((640 - h / f) / 2) END AS py
+  FROM p WHERE list_max(s) >= 0.45 AND NOT list_contains(s, 1.0)),
+  c AS (SELECT vec_id, i, class, score, greatest(least(trunc((x - px) * f), w), 0) AS x, greatest(least(trunc((y - py) * f), h), 0) AS y, greatest(least(trunc(bw * f), w), 0) AS bw, greatest(least(trunc(bh * f), h), 0) AS bh FROM u),
+  b AS (SELECT vec_id, i, class, score, trunc(x - bw / 2) AS x1, trunc(y - bh / 2) AS y1, bw, bh FROM c WHERE score > 0.45),
+  g AS (SELECT vec_id, list({{'x': x1, 'y': y1, 'w': x1 + bw, 'h': y1 + bh, 'score': score, 'class': class}} ORDER BY score DESC, i) AS l FROM b GROUP BY 1),
+  k AS (SELECT vec_id, list_reduce(list_prepend(NULL, list_transform(l, lambda c: [c])), lambda acc, c: CASE WHEN acc IS NULL THEN c WHEN len(list_filter(acc, lambda a: CASE WHEN a.w * a.h + c[1].w * c[1].h > 0 THEN
+  greatest(least(a.x + a.w, c[1].x + c[1].w) - greatest(a.x, c[1].x), 0) * greatest(least(a.y + a.h, c[1].y + c[1].h) - greatest(a.y, c[1].y), 0) >
+  0.5 * (a.w * a.h + c[1].w * c[1].h - greatest(least(a.x + a.w, c[1].x + c[1].w) - greatest(a.x, c[1].x), 0) * greatest(least(a.y + a.h, c[1].y + c[1].h) - greatest(a.y, c[1].y), 0)) ELSE true END)) > 0
+  THEN acc ELSE list_concat(acc, c) END) AS kept FROM g)
+  SELECT vec_id, list_transform(kept, lambda a: [CAST(a.x AS INTEGER), CAST(a.y AS INTEGER), CAST(a.w AS INTEGER), CAST(a.h AS INTEGER)]) AS boxes, list_transform(kept, lambda a: a.class) AS classes, list_transform(kept, lambda a: round(a.score, 6)) AS scores FROM k""")
+def detector_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector's whole post-processing: 8 predictions of a box and 4 class scores, channel by channel, to boxes in the frame."""
+    i, part = F.col("vec_id"), lambda a, by: F.transform(F.slice("v", a, 16), by)
+    output = F.concat(part(1, lambda x: (x + 0.5) * 640), part(17, lambda x: (x + 0.5) * 300), part(33, lambda x: F.abs(x) * 3), part(49, lambda x: F.abs(x) * 3))
+    rows = doubles(spark, sf_dir).select("vec_id", detections.predictions(output, 8, 8).alias("p"))
+    found = rows.select("vec_id", detections.detected(F.col("p"), 200 + i % 1000, 200 + (i * 7) % 1000).alias("d")).where(F.size("d") > 0)
+    return found.select("vec_id", F.col("d.box").alias("boxes"), F.col("d.class").alias("classes"), rounded(F.col("d.score")).alias("scores"))
+
+
+@query(f"""{DOUBLES}, d AS (SELECT vec_id, 200 + vec_id % 1000 AS w, 200 + (vec_id * 7) % 1000 AS h, unnest(range(12)) AS i, v FROM t),
+  f AS (SELECT *, CASE WHEN h > w THEN h / 640::DOUBLE ELSE w / 640::DOUBLE END AS f FROM d WHERE i >= 2 AND v[i * 5 + 5] >= 0.05 AND v[i * 5 + 5] < 1),
+  p AS (SELECT *, CASE WHEN h > w THEN floor((640 - w / f) / 2) ELSE 0 END AS px, CASE WHEN h > w THEN 0 ELSE floor((640 - h / f) / 2) END AS py FROM f)
+  SELECT vec_id, list([CAST(trunc(((v[i * 5 + 1] + 0.5) * 640 - px) * f) AS INTEGER), CAST(trunc(((v[i * 5 + 2] + 0.5) * 640 - py) * f) AS INTEGER), CAST(trunc(((v[i * 5 + 3] + 0.5) * 640 - px) * f) AS INTEGER),
+  CAST(trunc(((v[i * 5 + 4] + 0.5) * 640 - py) * f) AS INTEGER)] ORDER BY i) AS boxes, list(CAST(i - 2 AS INTEGER) ORDER BY i) AS classes FROM p GROUP BY 1""")
+def openvocab_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of open-vocabulary detections, back in the frame; the first two have no class."""
+    i, at = F.col("vec_id"), lambda k, n: F.get(F.col("v"), k * 5 + n)
+    one = lambda k: F.struct(F.array(*[(at(k, n) + 0.5) * 640 for n in range(4)]).alias("box"), (k - 2).alias("class"), at(k, 4).alias("score"))
+    found = F.transform(F.sequence(F.lit(0), F.lit(11)), one)
+    rows = doubles(spark, sf_dir).select("vec_id", detections.open_vocabulary_boxes(found, 200 + i % 1000, 200 + (i * 7) % 1000).alias("d")).where(F.size("d") > 0)
+    return rows.select("vec_id", F.col("d.box").alias("boxes"), F.col("d.class").alias("classes"))
+
+
+@query(f"""{DOUBLES} SELECT vec_id, [3, 7, 7] AS shape, list_transform(range(147), lambda i: CASE WHEN i % 49 // 7 BETWEEN 1 AND 4 AND i % 7 BETWEEN 1 AND 4
+  THEN round(CAST(CAST(v[CAST(((i % 49 // 7 - 1) * 4 + i % 7 - 1) * 3 + i // 49 + 1 AS INTEGER)] / 255 AS FLOAT) AS DOUBLE), 7) ELSE round(CAST(CAST(128 / 255::DOUBLE AS FLOAT) AS DOUBLE), 7) END) AS data FROM t""")
+def letterbox_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 4 x 4 image of three channels in the middle of a 7 x 7 one, as a model's input."""
+    rows = doubles(spark, sf_dir).select("vec_id", tensors.input_tensor(F.slice("v", 1, 48), 4, 4, 3, 7, 7).alias("x"))
+    return rows.select("vec_id", F.col("x.shape").alias("shape"), F.transform("x.data", lambda y: F.round(y.cast("double"), 7)).alias("data"))
+
+
 _LABELS_SQL = "[" + ", ".join(f"'{x}'" for x in detections.LABELS) + "]"
 
 

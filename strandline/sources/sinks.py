@@ -31,9 +31,11 @@ def emittable(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def write_frames(frames: DataFrame, path: str) -> None:
-    """Parquet of raw frames, laid out by stream and sorted by frame number within files."""
-    emittable(frames)[0].repartition("pipeline_id").sortWithinPartitions("pipeline_id", "frame_number").write.mode("append").partitionBy("pipeline_id").parquet(path)
+def write_frames(frames: DataFrame, path: str, batch: int = 0) -> None:
+    """Parquet of raw frames, laid out by micro-batch and stream and sorted by frame number within files. A batch that is
+    run again takes the place of its first run."""
+    good = emittable(frames)[0].repartition("pipeline_id").sortWithinPartitions("pipeline_id", "frame_number")
+    good.write.mode("overwrite").partitionBy("pipeline_id").parquet(f"{path}/batch={batch}")
 
 
 def stream_to(frames: DataFrame, output_uri: str | None) -> DataStreamWriter:
@@ -46,7 +48,7 @@ def stream_to(frames: DataFrame, output_uri: str | None) -> DataStreamWriter:
     if protocol == "file":
         if not output_uri.endswith(".mp4"):
             raise ValueError(f"unsupported file type: {output_uri}")
-        return frames.writeStream.foreachBatch(lambda d, _: write_frames(d, rest))
+        return frames.writeStream.foreachBatch(lambda d, i: write_frames(d, rest, i))
     if protocol in _network:
         return frames.writeStream.foreachBatch(_network[protocol])
     raise ValueError(f"unsupported output: {output_uri}")

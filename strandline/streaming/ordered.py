@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,9 +37,10 @@ class Ordered(StatefulProcessor):
         before = set(waiting)
         for batch in rows:
             waiting.update({int(k): float(v) for k, v in zip(batch["frame_number"], batch["value"], strict=True) if k >= following})
-        out = []
-        while waiting and (following in waiting or len(waiting) > self.patience):
-            following = min(waiting)
+        out, numbers = [], list(waiting)
+        heapify(numbers)
+        while numbers and (numbers[0] == following or len(numbers) > self.patience):
+            following = heappop(numbers)
             total += waiting.pop(following)
             n += 1
             out.append((key[0], following, n, total))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.control import decisions
 from strandline.control.decisions import TRANSITIONS
 from strandline.control.streams import Entry, NotFound, Streams, Supervisor
 from strandline.functions import detections, geometry, media, tensors, userdata
@@ -313,3 +314,54 @@ class Sum(inference.Model):
 def test_model_steps(spark):
     rows = inference.apply_model(frame_source(spark, frames=4).select("frame_number", "modified"), Sum(), {"total": T.LongType()}).collect()
     assert {r.frame_number: r.total for r in rows} == {n: sum(synthetic(0, n, 4, 3)) if n % 2 == 0 else None for n in range(1, 5)}
+
+
+def test_spread_fold_keeps_rows_without_a_key(spark):
+    rows = spark.createDataFrame([(None, 1, 1, 2.0), (1, None, 1, 3.0), (1, 1, 1, 4.0), (1, 2, 2, 5.0), (None, 2, 2, 6.0)], "k int, b int, n int, v double")
+    got = ops.spread_fold(rows, "k", ["n"], F.col("b"), {"total": F.col("v"), "number": F.lit(1)})
+    assert got.columns == ["k", "b", "n", "v", "total", "number"]
+    assert sorted(((r.k, r.b, r.total, r.number) for r in got.collect()), key=str) == sorted([(None, 1, 2.0, 1), (None, 2, 8.0, 2), (1, None, 3.0, 1), (1, 1, 7.0, 2), (1, 2, 12.0, 3)], key=str)
+
+
+def test_tensors_that_do_not_fit(spark, tmp_path):
+    """One bad frame costs neither the job nor the frames that share its call."""
+    model = tmp_path / "sum.onnx"
+    model.write_bytes(inference.linear_model(np.ones((3, 1), np.float32)))
+    spec = inference.InferenceSpec("onnx", str(model))
+    data = [(0, ([3], [1.0, 2.0, 3.0])), (1, ([3], [1.0])), (2, ([2], [1.0, 2.0])), (3, (None, [1.0])), (4, ([-1], [1.0])), (5, ([3], [4.0, 5.0, 6.0])), (6, ([], [7.0]))]
+    rows = spark.createDataFrame(data, "i int, inference_input struct<shape:array<int>,data:array<float>>").coalesce(1)
+    got = {r.i: r.inference_output for r in inference.infer(rows, spec).collect()}
+    assert {i: (list(v["y"].shape), list(v["y"].data)) for i, v in got.items() if v} == {0: ([1, 1], [6.0]), 5: ([1, 1], [15.0])} and len(got) == 7
+
+
+def test_a_batch_that_is_written_again(spark, tmp_path):
+    rows = frame_source(spark, frames=3)
+    for batch, n in ((0, 2), (1, 3), (1, 3)):
+        sinks.write_frames(rows.where(F.col("frame_number") <= n), str(tmp_path / "f"), batch)
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 5
+
+
+def test_source_after_a_restart(spark, tmp_path):
+    """A query that stops and starts again from its checkpoint reads no frame twice and leaves none out."""
+    spark.dataSource.register(FrameSource)
+    for seconds in (3, 12):
+        stream = spark.readStream.format("frames").options(streams=2, frames=6, maxFramesPerTrigger=2).load()
+        query = sinks.stream_to(stream, f"file://{tmp_path}/o.mp4").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="100 milliseconds").start()
+        query.awaitTermination(seconds)
+        query.stop()
+    got = [(r.pipeline_id, r.frame_number) for r in spark.read.parquet(str(tmp_path / "o.mp4")).collect()]
+    assert len(got) == len(set(got)) == 12
+
+
+def test_a_long_stream_in_order(spark):
+    """One stream of many frames, shuffled: gaps and all in one go."""
+    n = 100_000
+    rows = spark.range(1, n).where("id % 10 > 0").select(F.lit(1).alias("pipeline_id"), F.col("id").alias("frame_number"), F.lit(1.0).alias("value")).orderBy(F.xxhash64("id"))
+    got = ordered.ordered_totals(rows, patience=0).agg(F.count("*"), F.max("n"), F.max("frame_number")).first()
+    assert tuple(got) == (n * 9 // 10, n * 9 // 10, n - 1)
+
+
+def test_entries_differ_by_any_part(spark):
+    parts = [("x", "y|", "a", "p"), ("x|y", "", "a", "p"), ("x", None, "a", "p"), ("x", "", "a", "p"), ("", "x", "a", "p")]
+    rows = spark.createDataFrame(parts, "i string, o string, p string, r string")
+    assert rows.select(decisions.entry_hash(F.col("i"), F.col("o"), F.array("p"), F.col("r")).alias("h")).distinct().count() == len(parts)
