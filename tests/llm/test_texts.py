@@ -374,6 +374,13 @@ def test_first_by_jaccard(spark):
     assert sorted(r.doc_id for r in simhash.first_of_each(df).collect()) != want
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=300), st.sets(st.integers(-(2**63), 2**63 - 1), max_size=40))
+def test_sketches_bound_the_difference(a, b):
+    of = lambda s: shingles.sketch(np.array(sorted(s), np.int64))
+    assert shingles.sketch_distance(of(a), of(b)) <= len(a ^ b) and shingles.sketch_distance(of(a), of(a | b)) <= len(b - a)
+
+
 def test_hot_shards_are_sliced(spark):
     """Fingerprints within few bits of each other, many more than a slice holds: one group, found by any slicing."""
     import random
