@@ -479,6 +479,17 @@ def test_round_trip(text):
     assert model.decode(model.encode(text)[0]) == text
 
 
+def test_columns_of_any_name(spark):
+    """A table with the names that the operators use within keeps all its columns and values."""
+    names = ["dk", "lines", "clean", "base", "spans", "quality", "key", "_quality", "_key", "_dk", "_lines", "_text", "_base", "_spans"]
+    data = [(i, f"text number {i} of a few words\nand password = 'abcDEF123456789{i}'", *[f"{n}{i}" for n in names]) for i in range(6)]
+    df = spark.createDataFrame(data, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for out in (lines.without_repeats(df), secrets.redact(df), simhash.first_of_each(df), shingles.first_of_each(df), quality.keep_good(df, table(spark, SF, "labels"), at_least=0.0)):
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+
+
 def test_empty_tables(spark, none):
     labels = table(spark, SF, "labels")
     for df in (lmscore.score(none), lines.dedup(none), lines.without_repeats(none), suffixes.dedup(none), quality.classify(none, labels), secrets.scan(none), secrets.redact(none),
