@@ -122,7 +122,7 @@ def inorder_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{SHED} SELECT pipeline_id, frame_number, CAST(count(*) OVER w AS BIGINT) AS n, round(sum(value) OVER w, 4) AS total FROM kept
   WINDOW w AS (PARTITION BY pipeline_id ORDER BY frame_number ROWS UNBOUNDED PRECEDING)""")
 def stateful_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ops.running(ops.running(kept(spark, sf_dir), F.lit(1), "n"), F.col("value"), "total")
+    rows = ops.running(kept(spark, sf_dir), {"n": F.lit(1), "total": F.col("value")})
     return rows.select("pipeline_id", "frame_number", F.col("n").cast("long").alias("n"), F.round("total", 4).alias("total"))
 
 

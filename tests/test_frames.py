@@ -2,6 +2,7 @@
 
 import json
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -323,6 +324,37 @@ def test_spread_fold_keeps_rows_without_a_key(spark):
     assert sorted(((r.k, r.b, r.total, r.number) for r in got.collect()), key=str) == sorted([(None, 1, 2.0, 1), (None, 2, 8.0, 2), (1, None, 3.0, 1), (1, 1, 7.0, 2), (1, 2, 12.0, 3)], key=str)
 
 
+def test_streams_in_blocks(spark, monkeypatch):
+    """Each operator over blocks of 3 numbers against one pass over the whole stream."""
+    monkeypatch.setattr(ops, "BLOCK", 3)
+    drawn = random.Random(4)
+    whole = [(p, n, f"2024-01-01 00:{n:02d}:{drawn.randrange(60):02d}", drawn.choice(["frame", "frame", "caps"]), drawn.choice([None, 1.0, 2.0])) for p in (None, 1, 2) for n in range(1, 30)]
+    whole = [r for r in whole if r[1] < 8 or drawn.random() < 0.6]
+    rows = spark.createDataFrame(drawn.sample(whole, len(whole)), "pipeline_id int, frame_number long, ts string, kind string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    missing, length, latched, frontier, totals = {}, {}, set(), set(), {}
+    for p in (None, 1, 2):
+        before, seen, total = None, False, None
+        for i, (_, n, ts, kind, value) in enumerate(r for r in whole if r[0] == p):
+            at = datetime.fromisoformat(ts)
+            missing[p, n] = n - (before[0] if before else 0) - 1
+            length[p, n] = None
+            if before:
+                length[p, before[0]] = (at - before[1]) // timedelta(microseconds=1)
+            seen = seen or kind == "caps"
+            if seen and kind == "frame":
+                latched.add((p, n))
+            if n == i + 1:
+                frontier.add((p, n))
+            total = total if value is None else (total or 0.0) + value
+            totals[p, n] = (i + 1, total)
+            before = n, at
+    assert {(r.pipeline_id, r.frame_number): r.missing for r in ops.gaps(rows).collect()} == missing
+    assert {(r.pipeline_id, r.frame_number): r.duration_us for r in ops.with_duration(rows).collect()} == length
+    assert {(r.pipeline_id, r.frame_number) for r in ops.latched(rows).collect()} == latched
+    assert {(r.pipeline_id, r.frame_number) for r in ops.frontier(rows).collect()} == frontier
+    assert {(r.pipeline_id, r.frame_number): (r.n, r.total) for r in ops.running(rows, {"n": F.lit(1), "total": F.col("value")}).collect()} == totals
+
+
 def test_tensors_that_do_not_fit(spark, tmp_path):
     """One bad frame costs neither the job nor the frames that share its call."""
     model = tmp_path / "sum.onnx"
