@@ -1,5 +1,6 @@
 """The operators on documents against brute force."""
 
+import base64
 import hashlib
 import math
 import random
@@ -13,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandline.llm import lines, lmscore, packing, quality, secrets, sentencepieces, shingles, simhash, suffixes
 from strandline.llm.common import table
@@ -288,6 +290,63 @@ def test_keys_behind_long_names(spark):
     assert key not in masked[2] and key not in masked[4] and masked[4].endswith("_the_ordinary_rest_of_this_long_name")
 
 
+def sampled_strings(texts):
+    """(label, string) pairs that the models learn from, where the samples take every text."""
+    for t in texts:
+        found = base_spans(t)
+        for a, kind, b in found[:4]:
+            yield 1, ASSIGN.fullmatch(t[a:b])[1] if kind == 0 else t[a:b]
+        w = [] if found else re.findall("[A-Za-z]{4,40}", t)[:200]
+        for x, y in zip(w, [*w[1:], ""], strict=False):
+            yield from ((0, s) for s in (x, x.lower() + y.capitalize(), f"{x}_{y}".lower(), f"{x}_{y}".upper(), f"{x}-{y}".lower()))
+    for i in range(2000):
+        digest = hashlib.sha256(str(i).encode())
+        yield from ((1, s) for s in (digest.hexdigest(), digest.hexdigest().upper(), base64.b64encode(digest.digest()).decode()))
+
+
+def markov_expected(text, ratio, threshold=0.35):
+    """Spans of candidate runs by the two models, or of a run's best stretches."""
+    chars = list(text)
+    for a, _, b in base_spans(text):
+        chars[a:b] = " " * (b - a)
+    beyond = lambda s: sum(ratio[x + y] - threshold for x, y in zip(s, s[1:], strict=False))
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", "".join(chars)):
+        if len(set(m[0])) < 8 or beyond(m[0]) >= 0:
+            out.append(m.span())
+            continue
+        at = start = end = m.start()
+        total = top = 0.0
+        for part in re.findall("[^=/_-]*[=/_-]|[^=/_-]+$", m[0]):
+            if total <= 0:
+                out.append((start, end))
+                start, end, total, top = at, at, 0.0, 0.0
+            total += beyond(own := part.rstrip("=/_-"))
+            if total > top:
+                top, end = total, at + len(own)
+            at += len(part)
+        out.append((start, end))
+    return [(a, b) for a, b in out if b - a >= 20 and len(set(text[a:b])) >= 8]
+
+
+def test_markov_models(spark, docs, plain):
+    rng = random.Random(2)
+    key = lambda n: "".join(rng.choice(secrets.ALPHABET[:64]) for _ in range(n))
+    name = lambda n: "_".join(rng.choice(["account", "Service", "REGION", "of", "ordinary", "connection"]) for _ in range(n))
+    runs = [rng.choice(["", name(rng.randrange(1, 9)) + rng.choice("=/_-")]) + key(rng.randrange(1, 40)) + rng.choice(["", "-" + name(rng.randrange(1, 9))]) for _ in range(300)]
+    texts = [*TRICKY, *(f"{a} {b} token={c} {d}" for a, b, c, d in zip(runs, runs[1:], runs[2:], map(name, range(1, 12)), strict=False)), *runs]
+    data = [*plain, *((1000 + i, t) for i, t in enumerate(texts))]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(data[len(plain) :], "doc_id long, text string"))
+    count = Counter((label, a + b) for label, s in sampled_strings([t or "" for _, t in data]) for a, b in zip(s, s[1:], strict=False))
+    letters = secrets.ALPHABET
+    p = lambda label, a, b: (count[label, a + b] + 0.5) / (sum(count[label, a + c] for c in letters) + 0.5 * len(letters))
+    ratio = {a + b: math.log(p(1, a, b) / p(0, a, b)) for a in letters for b in letters}
+    ratios = secrets.log_ratios(df)
+    assert np.allclose(ratios, [ratio[a + b] for a in letters for b in letters])
+    got = {(r.doc_id, r.text): [(s["start"], s["end"]) for s in r.m] for r in secrets.spans(df, ratios).select("doc_id", "text", F.expr("filter(_spans, s -> s.kind = 3)").alias("m")).collect()}
+    assert got == {(i, t): sorted(markov_expected(t or "", ratio)) for i, t in data} and sum(map(len, got.values())) > 100
+
+
 def test_secrets_stay_native(spark, docs):
     plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
