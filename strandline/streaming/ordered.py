@@ -1,11 +1,18 @@
-"""Ordered and keyed state in Structured Streaming."""
+"""Ordered and keyed state, in Structured Streaming and in batch.
+
+A streaming query gets a stream's rows in any order and keeps its state between batches. A batch query lets Spark sort the
+rows, and a task reads them one Arrow batch at a time with the state of one stream, however long that stream is.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop
+from math import nan
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -100,30 +107,96 @@ class Tracks(StatefulProcessor):
         """Nothing is open."""
 
 
+def _totals(patience: int) -> Callable[[dict], list[dict]]:
+    """What Ordered does, for rows of one stream in order: at most patience + 1 of them wait."""
+    queue: deque[tuple[int, float]] = deque()
+    following, n, total = 1, 0, 0.0
+
+    def step(row: dict) -> list[dict]:
+        nonlocal following, n, total
+        number, value, out = row["frame_number"], nan if row["value"] is None else float(row["value"]), []
+        if number < following:
+            return out
+        if queue and queue[-1][0] == number:
+            queue.pop()
+        queue.append((number, value))
+        while queue and (queue[0][0] == following or len(queue) > patience):
+            at, value = queue.popleft()
+            following, n, total = at + 1, n + 1, total + value
+            out.append({"pipeline_id": row["pipeline_id"], "frame_number": at, "n": n, "total": total})
+        return out
+
+    return step
+
+
+def _answers() -> Callable[[dict], list[dict]]:
+    """What KeyValue does, for rows of one stream in order."""
+    values: dict[str, str] = {}
+
+    def step(row: dict) -> list[dict]:
+        if row["op"] == "set":
+            values[row["key"]] = str(row["value"])
+        elif row["op"] == "end":
+            values.clear()
+        return [{**row, "value": values.get(row["key"], "")}] if row["op"] == "get" else []
+
+    return step
+
+
+def _track_ids() -> Callable[[dict], list[dict]]:
+    """What Tracks does, for rows of one stream in order."""
+    tracker = Tracker()
+    return lambda row: [{**row, "track_ids": tracker.update([(float(p[0]), float(p[1])) for p in row["points"] or []])}]
+
+
+def _in_order(df: DataFrame, order: str, start: Callable[[], Callable[[dict], list[dict]]], columns: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """start() gives each stream its step, which is called with the stream's rows in order and returns rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, step = None, None
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                if step is None or row["pipeline_id"] != stream:
+                    stream, step = row["pipeline_id"], start()
+                out += step(row)
+            kinds = [("pipeline_id", batch.schema.field("pipeline_id").type), *columns.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[name] for r in out], kind) for name, kind in kinds], [name for name, _ in kinds])
+
+    return df.repartition("pipeline_id").sortWithinPartitions("pipeline_id", order).mapInArrow(run, schema)
+
+
 def _with_state(df: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    """Needs the RocksDB state store; a batch query also needs the streaming services, which asking for queries starts."""
-    spark = df.sparkSession
-    spark.conf.set(STATE_STORE, ROCKS)
-    spark.streams.active  # noqa: B018
+    """Needs the RocksDB state store."""
+    df.sparkSession.conf.set(STATE_STORE, ROCKS)
     return df.groupBy("pipeline_id").transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode="none")
 
 
 def ordered_totals(frames: DataFrame, patience: int = 240) -> DataFrame:
     """pipeline_id, frame_number, n, total from rows (pipeline_id, frame_number, value) in any order."""
-    kind = frames.schema["pipeline_id"].dataType.simpleString()
-    return _with_state(frames.select("pipeline_id", "frame_number", "value"), Ordered(patience), f"pipeline_id {kind}, frame_number long, n long, total double")
+    rows = frames.select("pipeline_id", "frame_number", "value")
+    schema = f"pipeline_id {rows.schema['pipeline_id'].dataType.simpleString()}, frame_number long, n long, total double"
+    if frames.isStreaming:
+        return _with_state(rows, Ordered(patience), schema)
+    return _in_order(rows, "frame_number", lambda: _totals(patience), {"frame_number": pa.int64(), "n": pa.int64(), "total": pa.float64()}, schema)
 
 
 def key_values(requests: DataFrame) -> DataFrame:
     """Answers to the get rows of (pipeline_id, seq, op, key, value)."""
-    kind = requests.schema["pipeline_id"].dataType.simpleString()
-    return _with_state(requests.select("pipeline_id", "seq", "op", "key", "value"), KeyValue(), f"pipeline_id {kind}, seq long, key string, value string")
+    rows = requests.select("pipeline_id", "seq", "op", "key", "value")
+    schema = f"pipeline_id {rows.schema['pipeline_id'].dataType.simpleString()}, seq long, key string, value string"
+    if requests.isStreaming:
+        return _with_state(rows, KeyValue(), schema)
+    return _in_order(rows, "seq", _answers, {"seq": pa.int64(), "key": pa.string(), "value": pa.string()}, schema)
 
 
 def tracks(frames: DataFrame) -> DataFrame:
     """pipeline_id, frame_number, track_ids from rows (pipeline_id, frame_number, points array<array<double>>)."""
-    kind = frames.schema["pipeline_id"].dataType.simpleString()
-    return _with_state(frames.select("pipeline_id", "frame_number", "points"), Tracks(), f"pipeline_id {kind}, frame_number long, track_ids array<long>")
+    rows = frames.select("pipeline_id", "frame_number", "points")
+    schema = f"pipeline_id {rows.schema['pipeline_id'].dataType.simpleString()}, frame_number long, track_ids array<long>"
+    if frames.isStreaming:
+        return _with_state(rows, Tracks(), schema)
+    return _in_order(rows, "frame_number", _track_ids, {"frame_number": pa.int64(), "track_ids": pa.list_(pa.int64())}, schema)
 
 
 def windowed_counts(frames: DataFrame, length: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

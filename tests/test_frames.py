@@ -244,6 +244,29 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.table("ordered").collect()} == batch and len(batch) == 40
 
 
+def test_streamed_answers_equal_batch(spark, tmp_path):
+    """Key-value answers of two micro-batches against those of one sorted reading."""
+    rows = [(p, n, ("set", "get", "end")[n % 3 if n % 4 else 0], f"k{n // 3 % 2}", f"v{n}") for p in (1, 2) for n in range(1, 31)]
+    schema, path = "pipeline_id long, seq long, op string, key string, value string", str(tmp_path / "in")
+    for half in (lambda r: r[1] <= 9, lambda r: r[1] > 9):
+        part = [r for r in rows if half(r)]
+        random.Random(3).shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    batch = sorted(map(str, ordered.key_values(spark.read.parquet(path)).collect()))
+    stream = ordered.key_values(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    stream.writeStream.format("memory").queryName("answers").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).outputMode("append").start().awaitTermination(120)
+    assert sorted(map(str, spark.table("answers").collect())) == batch and sum("value='v" in r for r in batch) > 10
+
+
+def test_rows_without_a_stream(spark):
+    """Null is a stream as any other, and a null value leaves no number."""
+    rows = spark.createDataFrame([(None, 2, 1.0), (None, 1, 2.0), (2**60 + 1, 1, None), (2**60 + 1, 3, 1.0)], "pipeline_id long, frame_number long, value double")
+    got = {(r.pipeline_id, r.frame_number): (r.n, str(r.total)) for r in ordered.ordered_totals(rows, patience=0).collect()}
+    assert got == {(None, 1): (1, "2.0"), (None, 2): (2, "3.0"), (2**60 + 1, 1): (1, "nan"), (2**60 + 1, 3): (2, "nan")}
+    assert ordered.ordered_totals(rows.limit(0)).count() == 0
+    assert {r.frame_number for r in ordered.ordered_totals(rows, patience=1).where("pipeline_id > 0").collect()} == {1}
+
+
 def test_frame_stream_to_files(spark, tmp_path):
     spark.dataSource.register(FrameSource)
     stream = spark.readStream.format("frames").options(streams=2, frames=5, maxFramesPerTrigger=2).load()
