@@ -47,6 +47,16 @@ def input_tensor(a: Column, height: int, width: int, channels: int, to_height: i
     return F.get(F.transform(F.array(whole), lambda x: tensor(hwc_to_chw(x, to_height, to_width, channels), channels, to_height, to_width)), F.lit(0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL engines do: the double x * 10^digits to the nearest whole number, halves away from zero.
+
+    Spark's round() works on the decimal digits of x instead and gives 0.0 for small negative numbers, here -0.0.
+    """
+    by = F.lit(10.0**digits)
+    size = F.round(F.abs(x) * by) / by
+    return F.when(size < float("inf"), F.signum(x) * size).otherwise(x)
+
+
 def argmax(a: Column) -> Column:
     """Place of the first maximum."""
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from strandline.plans.path import PROCESS, Hook
-from strandline.schemas import TENSOR
+from strandline.schemas import DOUBLE_TENSOR, TENSOR
 
 log = logging.getLogger(__name__)
 PROVIDERS = {"cpu": "CPUExecutionProvider", "cuda": "CUDAExecutionProvider", "tensorrt": "TensorrtExecutionProvider", "openvino": "OpenVINOExecutionProvider", "coreml": "CoreMLExecutionProvider"}
@@ -45,6 +45,8 @@ class InferenceSpec:
             raise ValueError(f"execution provider {params['execution_provider']}")
         if params.get("execution_mode", "sequential") not in ("sequential", "parallel"):
             raise ValueError(f"execution mode {params['execution_mode']}")
+        if params.get("output_type", "float") not in ("float", "double"):
+            raise ValueError(f"output type {params['output_type']}")
         return InferenceSpec(data["runtime"], data["model_uri"], params, data.get("make_stateful") or False)
 
 
@@ -96,11 +98,13 @@ def infer(df: DataFrame, spec: InferenceSpec, source: str = "inference_input", t
 
     Frames of equal shape share a call; outputs keep the batch axis, of length 1. Rows without input, with data that doesn't
     fit its shape, or whose own call fails keep a null or their old target: a call of many rows that fails is made again
-    row by row. A stateful spec gets each stream's frames in order, one a call.
+    row by row. A stateful spec gets each stream's frames in order, one a call. Outputs are floats, or doubles if the spec's
+    output_type says so.
     """
     if spec.stateful:
         df, most = df.repartition("pipeline_id").sortWithinPartitions("pipeline_id", "frame_number"), 1
-    schema = T.StructType([f for f in df.schema.fields if f.name != target] + [T.StructField(target, T.MapType(T.StringType(), TENSOR))])
+    kind, dtype = (DOUBLE_TENSOR, np.float64) if spec.params.get("output_type") == "double" else (TENSOR, np.float32)
+    schema = T.StructType([f for f in df.schema.fields if f.name != target] + [T.StructField(target, T.MapType(T.StringType(), kind))])
     names = schema.names
     uri, params, in_order = spec.model_uri, tuple(sorted(spec.params.items())), spec.stateful
 
@@ -115,7 +119,7 @@ def infer(df: DataFrame, spec: InferenceSpec, source: str = "inference_input", t
             except Exception:
                 return [r for x in inputs for r in call([x])] if len(inputs) > 1 else [None]
             known = [(n, r) for n, r in zip(outputs, results, strict=True) if r.dtype.kind in "fi" and len(r) == len(inputs)]
-            return [{n: {"shape": [1, *r.shape[1:]], "data": r[k].astype(np.float32).ravel().tolist()} for n, r in known} for k in range(len(inputs))]
+            return [{n: {"shape": [1, *r.shape[1:]], "data": r[k].astype(dtype).ravel().tolist()} for n, r in known} for k in range(len(inputs))]
 
         for batch in batches:
             found: list[dict | None] = list(batch[target]) if target in batch else [None] * len(batch)
@@ -187,7 +191,10 @@ def inference_hook(spec: InferenceSpec, kind: str = PROCESS) -> Hook:
 
 
 def linear_model(weights: np.ndarray) -> bytes:
-    """An ONNX model y = x @ weights for batches of rows, written without the onnx package."""
+    """An ONNX model y = x @ weights for batches of rows of floats, written without the onnx package.
+
+    Weights of doubles make it compute and answer in doubles.
+    """
 
     def varint(n: int) -> bytes:
         out = b""
@@ -201,12 +208,16 @@ def linear_model(weights: np.ndarray) -> bytes:
         x = x.encode() if isinstance(x, str) else x
         return varint(number << 3 | 2) + varint(len(x)) + x
 
-    def value(name: str, n: int) -> bytes:
+    def value(name: str, n: int, kind: int) -> bytes:
         dims = tagged(1, tagged(2, "n")) + tagged(1, tagged(1, n))
-        return tagged(1, name) + tagged(2, tagged(1, tagged(1, 1) + tagged(2, dims)))
+        return tagged(1, name) + tagged(2, tagged(1, tagged(1, kind) + tagged(2, dims)))
 
     rows, columns = weights.shape
-    matrix = tagged(1, rows) + tagged(1, columns) + tagged(2, 1) + tagged(8, "w") + tagged(9, weights.astype("<f4").tobytes())
-    node = tagged(1, "x") + tagged(1, "w") + tagged(2, "y") + tagged(4, "MatMul")
-    graph = tagged(1, node) + tagged(2, "g") + tagged(5, matrix) + tagged(11, value("x", rows)) + tagged(12, value("y", columns))
+    floats, doubles = 1, 11  # of the format's list of types
+    kind = doubles if weights.dtype == np.float64 else floats
+    matrix = tagged(1, rows) + tagged(1, columns) + tagged(2, kind) + tagged(8, "w") + tagged(9, weights.astype("<f8" if kind == doubles else "<f4").tobytes())
+    cast = tagged(1, "x") + tagged(2, "c") + tagged(4, "Cast") + tagged(5, tagged(1, "to") + tagged(3, kind) + tagged(20, 2))
+    node = tagged(1, "c" if kind == doubles else "x") + tagged(1, "w") + tagged(2, "y") + tagged(4, "MatMul")
+    nodes = (tagged(1, cast) if kind == doubles else b"") + tagged(1, node)
+    graph = nodes + tagged(2, "g") + tagged(5, matrix) + tagged(11, value("x", rows, floats)) + tagged(12, value("y", columns, kind))
     return tagged(1, 8) + tagged(7, graph) + tagged(8, tagged(1, "") + tagged(2, 13))

@@ -29,13 +29,13 @@ def weights() -> np.ndarray:
 
 @query(f"""SELECT vec_id, list_transform(range({CLASSES}), lambda c: round(list_sum(list_transform(list_filter(range(64), lambda i: i % {CLASSES} = c), lambda i: CAST(embedding[CAST(i + 1 AS INTEGER)] AS DOUBLE))), 3) + 0.0) AS scores FROM embeddings""")
 def onnx_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A linear model of 64 numbers to 10 scores, run by onnxruntime in batches."""
+    """A linear model of 64 numbers to 10 scores, run by onnxruntime in batches, in doubles as the SQL's sums."""
     path = os.path.join(tempfile.mkdtemp(), "strandline-linear.onnx")
     with open(path, "wb") as file:
-        file.write(inference.linear_model(weights()))
-    spec = inference.publish(spark, inference.InferenceSpec.parse({"runtime": "onnx", "model_uri": "file://" + path, "inference_params": {"execution_provider": "cpu"}}))
+        file.write(inference.linear_model(weights().astype(np.float64)))
+    spec = inference.publish(spark, inference.InferenceSpec.parse({"runtime": "onnx", "model_uri": "file://" + path, "inference_params": {"execution_provider": "cpu", "output_type": "double"}}))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", tensors.tensor(F.col("embedding"), 64).alias("inference_input"))
-    scores = F.transform(F.element_at("inference_output", F.lit("y"))["data"], lambda x: F.round(x.cast("double"), 3) + 0.0)
+    scores = F.transform(F.element_at("inference_output", F.lit("y"))["data"], lambda x: tensors.rounded(x, 3) + 0.0)
     return inference.infer(rows, spec).select("vec_id", scores.alias("scores"))
 
 

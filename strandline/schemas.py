@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 TENSOR = T.StructType([T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("data", T.ArrayType(T.FloatType()))])
+#: A tensor of a model that computes in doubles.
+DOUBLE_TENSOR = T.StructType([T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("data", T.ArrayType(T.DoubleType()))])
 
 #: One frame of a stream. Times are milliseconds; pixels are rows of RGB bytes, of width x height or of modified_shape.
 FRAME = T.StructType([
