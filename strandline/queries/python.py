@@ -47,14 +47,14 @@ def declared_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     os.mkdir(os.path.join(folder, "score"))
     model = os.path.join(folder, "strandline-declared.onnx")
     with open(model, "wb") as file:
-        file.write(inference.linear_model(weights()))
+        file.write(inference.linear_model(weights().astype(np.float64)))
     with open(os.path.join(folder, "score", "process.json"), "w") as file:
-        json.dump({"runtime": "onnx", "model_uri": "file://" + model, "inference_params": {"execution_provider": "cpu"}, "make_stateful": True}, file)
+        json.dump({"runtime": "onnx", "model_uri": "file://" + model, "inference_params": {"execution_provider": "cpu", "output_type": "double"}, "make_stateful": True}, file)
     stages = Registry.from_dir(folder)
     tensor = F.when(F.col("vec_id") % 3 > 0, tensors.tensor(F.col("embedding"), 64))
     rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 7).alias("pipeline_id"), F.col("vec_id").alias("frame_number"), tensor.alias("inference_input"))
     y = F.element_at("inference_output", F.lit("y"))
-    return execute(rows, stages.path("score"), stages).where("inference_output IS NOT NULL").select("frame_number", F.transform(y["data"], lambda x: F.round(x.cast("double"), 3) + 0.0).alias("scores"), y["shape"].alias("shape"))
+    return execute(rows, stages.path("score"), stages).where("inference_output IS NOT NULL").select("frame_number", F.transform(y["data"], lambda x: tensors.rounded(x, 3) + 0.0).alias("scores"), y["shape"].alias("shape"))
 
 
 @query(f"{SHED} SELECT pipeline_id, frame_number, CAST(count(*) OVER w AS BIGINT) AS n, round(sum(value) OVER w, 4) AS total FROM kept WINDOW w AS (PARTITION BY pipeline_id ORDER BY frame_number ROWS UNBOUNDED PRECEDING)")

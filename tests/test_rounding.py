@@ -33,3 +33,7 @@ def same(spark, folder, name):
 
 def test_onnx_inference(spark, folder):
     same(spark, folder, "onnx_inference")
+
+
+def test_declared_inference(spark, folder):
+    same(spark, folder, "declared_inference")
