@@ -3,8 +3,10 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline import queries as core
+from strandline.functions import tensors
 from strandline.queries import python, vectors  # noqa: F401  registers the queries
 
 
@@ -37,3 +39,17 @@ def test_onnx_inference(spark, folder):
 
 def test_declared_inference(spark, folder):
     same(spark, folder, "declared_inference")
+
+
+@pytest.mark.parametrize("name", ["letterbox_tensor"])
+def test_rounded(spark, folder, name):
+    same(spark, folder, name)
+
+
+def test_rounding_of_odd_numbers(spark):
+    numbers = [0.0, -0.0, -1e-9, 0.49999999999999994, 0.5, -2.5, 1e300, -1e308, float("inf"), float("-inf"), float("nan"), None, 1.0005, -1.0005, 5e15, 0.285]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    for digits in (0, 2, 3, 9):
+        got = [r.y for r in rows.select("i", tensors.rounded(F.col("x"), digits).alias("y")).orderBy("i").collect()]
+        sql = duckdb.connect()
+        assert [repr(y) for y in got] == [repr(sql.execute("SELECT round(CAST(? AS DOUBLE), CAST(? AS INTEGER))", [x, digits]).fetchone()[0]) for x in numbers]
