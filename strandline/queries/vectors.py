@@ -17,7 +17,7 @@ def doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(a: Column, digits: int = 6) -> Column:
-    return F.transform(a, lambda x: F.round(x, digits))
+    return F.transform(a, lambda x: tensors.rounded(x, digits))
 
 
 @query(f"{DOUBLES} SELECT vec_id, list_transform(v, lambda x: round(x / 255, 9)) AS scaled, list_transform(v, lambda x: round(greatest(least(x, 0.1), -0.1), 6)) AS clipped FROM t")
@@ -141,7 +141,7 @@ def openvocab_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def letterbox_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 4 x 4 image of three channels in the middle of a 7 x 7 one, as a model's input."""
     rows = doubles(spark, sf_dir).select("vec_id", tensors.input_tensor(F.slice("v", 1, 48), 4, 4, 3, 7, 7).alias("x"))
-    return rows.select("vec_id", F.col("x.shape").alias("shape"), F.transform("x.data", lambda y: tensors.rounded(y.cast("double"), 7)).alias("data"))
+    return rows.select("vec_id", F.col("x.shape").alias("shape"), rounded(F.col("x.data").cast("array<double>"), 7).alias("data"))
 
 
 _LABELS_SQL = "[" + ", ".join(f"'{x}'" for x in detections.LABELS) + "]"
