@@ -158,7 +158,7 @@ def user_data_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda i, k: F.get(F.col("v"), i * 6 + k)
     rows = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.array(at(i, 0), at(i, 1), at(i, 2), at(i, 3), at(i, 4), F.abs(at(i, 5)) * 100))
     out = doubles(spark, sf_dir).select("vec_id", detections.packed(rows).alias("p"))
-    return out.select("vec_id", F.transform("p.bboxes", lambda b: F.round(b[0], 6)).alias("first_x"), rounded(F.col("p.scores")).alias("scores"), F.col("p.labels").alias("labels"))
+    return out.select("vec_id", F.transform("p.bboxes", lambda b: tensors.rounded(b[0], 6)).alias("first_x"), rounded(F.col("p.scores")).alias("scores"), F.col("p.labels").alias("labels"))
 
 
 @query(f"""{DOUBLES} SELECT vec_id, round(v[56], 6) AS score, list_transform(range(17), lambda i: round(v[i * 3 + 2] * 640, 4)) AS xs, list_transform(range(17), lambda i: round(v[i * 3 + 1] * 480, 4)) AS ys,

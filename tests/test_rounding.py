@@ -41,7 +41,7 @@ def test_declared_inference(spark, folder):
     same(spark, folder, "declared_inference")
 
 
-@pytest.mark.parametrize("name", ["letterbox_tensor", "normalize_and_clip"])
+@pytest.mark.parametrize("name", ["letterbox_tensor", "normalize_and_clip", "user_data_pack"])
 def test_rounded(spark, folder, name):
     same(spark, folder, name)
 
