@@ -41,7 +41,7 @@ def argmax_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{DOUBLES} SELECT vec_id, CAST(list_position(v[5:], list_max(v[5:])) - 1 AS INTEGER) AS class, round(list_max(v[5:]), 6) AS score, round(v[1], 6) AS x FROM t WHERE list_max(v[5:]) >= 0.2""")
 def detection_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = doubles(spark, sf_dir).select("vec_id", detections.decode(F.col("v"), 0.2).alias("d")).where("d is not null")
-    return rows.select("vec_id", F.col("d.class").alias("class"), F.round("d.score", 6).alias("score"), F.round(F.get("d.box", 0), 6).alias("x"))
+    return rows.select("vec_id", F.col("d.class").alias("class"), tensors.rounded(F.col("d.score"), 6).alias("score"), tensors.rounded(F.get("d.box", 0), 6).alias("x"))
 
 
 SIZED = "SELECT vec_id, 200 + vec_id % 1000 AS w, 200 + (vec_id * 7) % 1000 AS h, list_transform(v[1:4], lambda x: (x + 0.5) * 640) AS b FROM t"
@@ -165,11 +165,11 @@ def user_data_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(v[53] * 640, 4) AS xmin FROM t WHERE v[56] > 0.05""")
 def pose_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = doubles(spark, sf_dir).select("vec_id", detections.pose(F.col("v"), F.lit(640), F.lit(480)).alias("p")).where("p.score > 0.05")
-    return rows.select("vec_id", F.round("p.score", 6).alias("score"), F.transform("p.points", lambda q: F.round(q["x"], 4)).alias("xs"), F.transform("p.points", lambda q: F.round(q["y"], 4)).alias("ys"), F.round(F.get("p.box", 1), 4).alias("xmin"))
+    return rows.select("vec_id", tensors.rounded(F.col("p.score"), 6).alias("score"), rounded(F.col("p.points.x"), 4).alias("xs"), rounded(F.col("p.points.y"), 4).alias("ys"), tensors.rounded(F.get("p.box", 1), 4).alias("xmin"))
 
 
 @query(f"{DOUBLES} SELECT vec_id, round(v[1], 6) AS x1, round(v[4], 6) AS y2, [round(v[5], 6), round(v[5], 6)] AS scores FROM t")
 def trackable_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda k: F.get(F.col("v"), k)
     rows = doubles(spark, sf_dir).select("vec_id", detections.trackable(F.slice("v", 1, 4), at(4)).alias("d"))
-    return rows.select("vec_id", F.round(F.get(F.get("d.points", 0), 0), 6).alias("x1"), F.round(F.get(F.get("d.points", 1), 1), 6).alias("y2"), rounded(F.col("d.scores")).alias("scores"))
+    return rows.select("vec_id", tensors.rounded(F.get(F.get("d.points", 0), 0), 6).alias("x1"), tensors.rounded(F.get(F.get("d.points", 1), 1), 6).alias("y2"), rounded(F.col("d.scores")).alias("scores"))

@@ -41,7 +41,7 @@ def test_declared_inference(spark, folder):
     same(spark, folder, "declared_inference")
 
 
-@pytest.mark.parametrize("name", ["letterbox_tensor", "normalize_and_clip", "user_data_pack"])
+@pytest.mark.parametrize("name", ["normalize_and_clip", "letterbox_tensor", "user_data_pack", "pose_decode", "trackable_points", "detection_decode"])
 def test_rounded(spark, folder, name):
     same(spark, folder, name)
 
