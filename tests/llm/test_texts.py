@@ -433,6 +433,37 @@ def test_first_by_jaccard(spark):
     assert sorted(r.doc_id for r in simhash.first_of_each(df).collect()) != want
 
 
+def test_the_join_takes_what_simhash_leaves_apart(spark, monkeypatch):
+    """Near copies that fingerprints find are settled before the exact join; the rest is found by it, and nothing is lost."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for share in [0.001] * 12 + [0.03] * 4:  # few changes, which fingerprints find, and many
+        base = [word() for _ in range(600)]
+        for _ in range(5):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), max(1, int(len(copy) * rng.uniform(0, share)))):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    counts, write, pairs = {}, shingles.materialize, shingles._simhash_pairs
+
+    def counted(d, name):
+        out = write(d, name)
+        counts.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "materialize", counted)
+    found = []
+    for simhash_pairs in (pairs, lambda nodes, radius: pairs(nodes, radius).limit(0)):
+        counts.clear()
+        monkeypatch.setattr(shingles, "_simhash_pairs", simhash_pairs)
+        assert sorted(r.doc_id for r in shingles.first_of_each(df).collect()) == jaccard_first(data)
+        found.append(counts["asked"])
+    assert 0 < found[0] < found[1] / 2
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=300), st.sets(st.integers(-(2**63), 2**63 - 1), max_size=40))
 def test_sketches_bound_the_difference(a, b):
